@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lifeloom.llm import packing
+from lifeloom.llm import licenses, packing, pieces
 from lifeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def packed_digest(pieces: DataFrame) -> DataFrame:
     """Pieces with the CRC-32 of their ids in place of the ids."""
 
@@ -33,8 +38,33 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text as a CRC-32, and whether they decode to it (U+2581 decodes to a space)."""
+    docs = table(spark, sf_dir, "documents")
+    coded = pieces.encode_documents(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, decoded = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
+            columns = (
+                pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in decoded], pa.string()),
+                pa.array([len(x) for x in decoded], pa.int64()),
+            )
+            kept = ("doc_id", "n_ids", "n_byte_ids", "score")
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in kept), *columns], names=[*kept, "ids_crc32", "decoded_sha256", "decoded_chars"]
+            )
+
+    return coded.mapInArrow(
+        run,
+        "doc_id long, n_ids long, n_byte_ids long, score double, ids_crc32 long, decoded_sha256 string, "
+        "decoded_chars long",
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packing,)}
+    return {f.__name__: f for f in (op1_license_scan, op3_packing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
