@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lifeloom.llm import licenses, packing, pieces
+from lifeloom.llm import languages, licenses, packing, pieces, toxicity
 from lifeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.withColumn("held_out", toxicity.held_out(scored["doc_id"]))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = languages.predict(docs, languages.train(docs))
+    return found.withColumn("held_out", languages.held_out(found["doc_id"]))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text as a CRC-32, and whether they decode to it (U+2581 decodes to a space)."""
     docs = table(spark, sf_dir, "documents")
@@ -64,7 +77,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op3_packing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_license_scan, op3_packing, op5_toxicity, op9_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
