@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lifeloom.llm import languages, licenses, packing, pieces, topk, toxicity
-from lifeloom.llm.common import table
+from lifeloom.llm import languages, licenses, packing, pieces, topk, toxicity, warc
+from lifeloom.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, read the archives back, and follow each revisit to the response that has its payload."""
+    path = warc.new_folder(spark)
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    read = warc.read_warc(spark, path).select(
+        "record_id", "record_type", "page_id", "refers_to", "refers_to_page",
+        F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"),
+    )
+    records = durable(read)
+    stored = records.where("record_type = 'response'").select("page_id", "record_type", "n", "sha1", F.lit(None).cast("long").alias("refers_to"))
+    target = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), "n", "sha1")
+    again = records.where("record_type = 'revisit'").drop("n", "sha1").join(target, "refers_to")
+    again = again.select("page_id", "record_type", "n", "sha1", F.col("refers_to_page").alias("refers_to"))
+    return stored.unionByName(again).select(
+        "page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -81,7 +100,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op3_packing, op5_toxicity, op7_top_k, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_license_scan, op3_packing, op4_warc, op5_toxicity, op7_top_k, op9_language_id, op10_sentencepiece)}
 
 
 OP7_SQL = """
@@ -103,5 +122,17 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+),
+kept AS (SELECT html, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN kept ON n >= 1000 AND p.html = kept.html
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL}
+    return {"op4_warc": OP4_SQL, "op7_top_k": OP7_SQL}

@@ -33,8 +33,9 @@ DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
 
 
-def record_id(page_id: int, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{segment}')}>"
+def record_id(page_id: int, row: int, segment: int = 1) -> str:
+    """Of a segment of the record of a row: repeated rows have records of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{row}/{segment}')}>"
 
 
 def cut(data: bytes, size: int) -> list[bytes]:
@@ -73,14 +74,16 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> str:
     return f"WARC/1.1{_END}{head}{_END}{block.decode('utf-8')}{_END}"
 
 
-def records_of(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> list[str]:
+def records_of(
+    page_id: int, row: int, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, int] | None
+) -> list[str]:
     """The record of a page, as one text for each of its segments."""
     uri = (url or f"urn:page:{page_id}").replace("\r", " ").replace("\n", " ")
-    own = [("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", uri)]
+    own = [("WARC-Record-ID", record_id(page_id, row)), ("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     own += [("Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        kind = [("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To", record_id(refers_to)), ("Refers-To-Page-ID", refers_to)]
+        kind = [("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To", record_id(*refers_to)), ("Refers-To-Page-ID", refers_to[0])]
         return [_record([*kind, *own], b"HTTP/1.1 200 OK\r\n\r\n")]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = cut(body, SEGMENT)
@@ -88,14 +91,14 @@ def records_of(page_id: int, url: str | None, payload: bytes, digest: str, refer
         return [_record([("WARC-Type", "response"), *own], body)]
     out = [_record([("WARC-Type", "response"), *own, ("WARC-Segment-Number", 1)], parts[0])]
     for i, part in enumerate(parts[1:], 2):
-        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, i)), ("WARC-Date", DATE), ("WARC-Target-URI", uri)]
-        headers += [("WARC-Segment-Origin-ID", record_id(page_id)), ("WARC-Segment-Number", i)]
+        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, row, i)), ("WARC-Date", DATE), ("WARC-Target-URI", uri)]
+        headers += [("WARC-Segment-Origin-ID", record_id(page_id, row)), ("WARC-Segment-Number", i)]
         out.append(_record(headers + ([("WARC-Segment-Total-Length", len(body))] if i == len(parts) else []), part))
     return out
 
 
 def with_revisits(pages: DataFrame, minimum: int = MIN_REVISIT) -> DataFrame:
-    """Pages (page_id, url, html) with digest and refers_to: the largest page_id of the same payload, null for itself.
+    """Pages (page_id, url, html) with row, digest and refers_to: row and largest page_id of the same payload.
 
     Payloads are grouped by SHA-1, SHA-256 and length, with partial sums before the shuffle; only payloads that occur
     again are joined back, and that join may be split where one payload is very common.
@@ -104,18 +107,19 @@ def with_revisits(pages: DataFrame, minimum: int = MIN_REVISIT) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+        F.monotonically_increasing_id().alias("row"),
     ).withColumns({"digest": F.sha1("html"), "strong": F.sha2("html", 256)})
     long = F.octet_length("html") >= minimum
     again = (
         rows.where(long)
         .groupBy("digest", "strong")
-        .agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n")
     )
     joined = rows.join(again, ["digest", "strong"], "left")
-    refers = F.when(long & (F.col("kept") != F.col("page_id")), F.col("kept"))
-    return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    refers = F.when(long & (F.col("kept.page_id") != F.col("page_id")), F.col("kept"))
+    return joined.select("page_id", "row", "url", "html", "digest", refers["page_id"].alias("to_page"), refers["row"].alias("to_row"))
 
 
 def write_warc(pages: DataFrame, path: str, minimum: int = MIN_REVISIT) -> None:
@@ -127,11 +131,13 @@ def write_warc(pages: DataFrame, path: str, minimum: int = MIN_REVISIT) -> None:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            refers = [None if pd.isna(x) else int(x) for x in b["refers_to"]]
+            refers = [None if pd.isna(p) else (int(p), int(r)) for p, r in zip(b["to_page"], b["to_row"], strict=True)]
             lines = [
                 r
-                for i, u, h, d, to in zip(b["page_id"].tolist(), b["url"], b["html"], b["digest"], refers, strict=True)
-                for r in records_of(i, u, h.encode("utf-8"), d, to)
+                for i, n, u, h, d, to in zip(
+                    b["page_id"].tolist(), b["row"].tolist(), b["url"], b["html"], b["digest"], refers, strict=True
+                )
+                for r in records_of(i, n, u, h.encode("utf-8"), d, to)
             ]
             yield pd.DataFrame({"value": lines})
 
