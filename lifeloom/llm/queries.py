@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeloom.llm import languages, licenses, packing, pieces, topk, toxicity, warc
+from lifeloom.llm import chat, languages, licenses, packing, pieces, topk, toxicity, warc
 from lifeloom.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,26 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql(
+        "SELECT CAST(c AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text "
+        "FROM VALUES (-1, 0, 'user'), (-1, 1, 'assistant') AS x(c, t, r)"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    turns = chat.formatted_turns(rows)
+    read = chat.read_back(turns, chat.examples(turns))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("trained", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("written").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = languages.predict(docs, languages.train(docs))
@@ -100,7 +120,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op3_packing, op4_warc, op5_toxicity, op7_top_k, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_license_scan, op3_packing, op4_warc, op5_toxicity, op7_top_k, op8_chat, op9_language_id, op10_sentencepiece)}
 
 
 OP7_SQL = """
@@ -134,5 +154,25 @@ FROM p LEFT JOIN kept ON n >= 1000 AND p.html = kept.html
 """
 
 
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+w AS (
+  SELECT *, 7 + length(replace(replace(replace(replace(replace(role, '\', '\\'), '[', '\('), ']', '\)'), '<', '\{'), chr(10), '\|'))
+    + 1 + length(replace(replace(replace(replace(text, '\', '\\'), '[', '\('), ']', '\)'), '<', '\{')) + 5 AS n
+  FROM c
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op7_top_k": OP7_SQL}
+    return {"op4_warc": OP4_SQL, "op7_top_k": OP7_SQL, "op8_chat": OP8_SQL}
