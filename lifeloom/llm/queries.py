@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeloom.llm import chat, languages, licenses, packing, pieces, topk, toxicity, warc
+from lifeloom.llm import chat, languages, licenses, packing, pieces, spotsigs, topk, toxicity, warc
 from lifeloom.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", toxicity.held_out(scored["doc_id"]))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -120,7 +124,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op3_packing, op4_warc, op5_toxicity, op7_top_k, op8_chat, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_license_scan, op3_packing, op4_warc, op5_toxicity, op6_spotsigs, op7_top_k, op8_chat, op9_language_id, op10_sentencepiece)}
 
 
 OP7_SQL = """
