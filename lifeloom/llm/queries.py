@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeloom.llm import chat, languages, licenses, packing, pieces, spotsigs, topk, toxicity, warc
+from lifeloom.llm import chat, languages, licenses, ngram_join, packing, pieces, spotsigs, topk, toxicity, warc
 from lifeloom.llm.common import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def packed_digest(pieces: DataFrame) -> DataFrame:
     """Pieces with the CRC-32 of their ids in place of the ids."""
 
@@ -124,7 +128,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op3_packing, op4_warc, op5_toxicity, op6_spotsigs, op7_top_k, op8_chat, op9_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_packing, op4_warc, op5_toxicity, op6_spotsigs, op7_top_k, op8_chat, op9_language_id, op10_sentencepiece)}
 
 
 OP7_SQL = """
@@ -146,6 +150,33 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS grams, text
+  FROM d
+),
+e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+linked AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*))
+  UNION
+  SELECT x.doc_id, y.doc_id FROM s x JOIN s y ON x.text = y.text AND x.doc_id <> y.doc_id
+),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT reach.a, linked.b FROM reach JOIN linked ON reach.b = linked.a
+),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+k AS (SELECT a AS doc_id, count(*) AS n FROM linked GROUP BY a)
+SELECT c.doc_id, c.class_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links FROM c LEFT JOIN k ON c.doc_id = k.doc_id
+"""
+
 OP4_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
@@ -179,4 +210,4 @@ FROM w GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op7_top_k": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op7_top_k": OP7_SQL, "op8_chat": OP8_SQL}
