@@ -6,9 +6,11 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z become a-z; every other ASCII character that is no digit or letter becomes a space.
 WORD_TABLE = bytes(
@@ -80,10 +82,11 @@ def durable(df: DataFrame) -> DataFrame:
     return Durable(df).df
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(column).to_pylist()
+def kept_rows(docs: DataFrame, decide: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """Rows of docs for whose texts decide() is true; the other columns stay in the JVM."""
 
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        return decide(texts)
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """These columns alone, whatever else the table holds."""
-    return df.select(*[df[c] for c in columns])
+    return docs.where(keep(docs["text"].cast("string")))

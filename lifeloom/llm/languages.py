@@ -13,10 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lifeloom.llm.common import kept_rows
+
 UND = "und"
 #: Labelled documents a language on average in the fit, at most; a hash of the id chooses them.
 SAMPLE_ROWS = 600
@@ -152,3 +155,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[k : k + 512], *cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs in which a language is found, with all their columns."""
+    return kept_rows(docs, lambda texts: pd.Series([bool(mixture(model, t)) for t in texts], dtype=bool))

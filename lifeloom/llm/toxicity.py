@@ -17,11 +17,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lifeloom.llm.common import kept_rows
+
 #: Labelled rows of each class that a model is fitted on, at most: a hash of the id chooses them.
 SAMPLE_ROWS = 1500
 #: Longest text of that sample, in characters; longer ones are left out of the fit (never of the scoring).
@@ -210,3 +213,15 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
+
+
+def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs whose score is below one half, with all their columns; repeated rows stay or go together."""
+    scorer = None
+
+    def decide(texts: pd.Series) -> pd.Series:
+        nonlocal scorer
+        scorer = scorer or Scorer(model.toxic, model.ordinary)
+        return pd.Series([score(model, scorer.gains(t)) < 0.5 for t in texts], dtype=bool)
+
+    return kept_rows(docs, decide)
