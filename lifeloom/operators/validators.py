@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lifeloom.functions.terms import wd_to_wdt, wdt_to_wd
 from lifeloom.operators.intervals import far, subtract
+from lifeloom.session import cut_lineage
 
 KINDS = ("one_of", "conflicts_with", "inverse", "symmetric", "item_requires_statement", "value_requires_statement", "none_of")
 GOOD = {
@@ -179,7 +180,12 @@ def validate(
     """
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
-    rows, own, exceptions = _prepared(corrections, entries, as_of)
+    rows, own, exceptions = (cut_lineage(x) for x in _prepared(corrections, entries, as_of))
+    if lifecycles is not None and kind not in ("one_of", "none_of"):
+        # Only lifecycles of properties that some entry asks for can witness anything.
+        asked = rows.select("p") if kind == "symmetric" else own.select(wd_to_wdt(F.col("pq2306")).alias("p"))
+        needed = asked.where("p is not null").distinct()
+        lifecycles = cut_lineage(lifecycles.select("s", "p", "o", "cdate", "ddate").join(needed, "p", "left_semi"))
     both = [_level(kind, rows, own, exceptions, lifecycles, level, strict_any_value) for level in ("property", "constraint")]
     names = "historical_status_property_level", "historical_status_constraint_id_level"
     return both[0].withColumnRenamed("status", names[0]).join(both[1].withColumnRenamed("status", names[1]), "row_id")

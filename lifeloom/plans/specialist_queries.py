@@ -114,7 +114,7 @@ def domination_leaders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Thresholds under which the test tables' even shares own something.
-_LOW = {"min_prop_edits": 20, "min_user_edits": 40, "min_share": 0.004, "min_focus": 0.05}
+_LOW = {"min_prop_edits": 20, "min_user_edits": 20, "min_share": 0.001, "min_focus": 0.05}
 _OWN = _DOM + f""",
 own AS (SELECT * FROM led WHERE pt >= {_LOW['min_prop_edits']} AND ut >= {_LOW['min_user_edits']} AND ps >= {_LOW['min_share']} AND us >= {_LOW['min_focus']})"""
 
@@ -134,7 +134,7 @@ def owned_portfolio(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.specialist_kind(S.portfolio(owned)))
 
 
-_GRID = {"min_prop_edits": [20, 60], "min_user_edits": [20, 40], "min_share": [0.002, 0.004, 0.006], "min_focus": [0.05, 0.1]}
+_GRID = {"min_prop_edits": [20, 2400], "min_user_edits": [20, 60], "min_share": [0.001, 0.004, 0.005], "min_focus": [0.05, 0.15]}
 
 
 def _grid_sql() -> str:
@@ -262,7 +262,7 @@ pf AS (
 @query(
     "class_profiles",
     f"""WITH {P.UCL}, {_PROFILE} SELECT "user", total_edits, active_classes, round(max_class_share, 6) AS max_class_share, round(en, 6) + 0.0 AS entropy, top_class, round(top_class_share, 6) AS top_class_share, second_class, round(second_class_share, 6) AS second_class_share,
-    CASE WHEN active_classes > 1 THEN round(en / log2(active_classes), 6) ELSE 0.0 END AS normalized_entropy, CASE WHEN active_classes > 1 THEN round(1 - en / log2(active_classes), 6) ELSE 1.0 END AS specialization_score, round(pow(2.0, en), 6) AS effective_classes FROM pf""",
+    CASE WHEN active_classes > 1 THEN round(en / log2(active_classes), 6) ELSE 0.0 END AS normalized_entropy, CASE WHEN active_classes > 1 THEN round(1 - en / log2(active_classes), 6) + 0.0 ELSE 1.0 END AS specialization_score, round(pow(2.0, en), 6) AS effective_classes FROM pf""",
 )
 def class_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.class_profile(P.user_classes(spark, sf)))
@@ -312,12 +312,12 @@ def class_intensity(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "baseline_mixture",
     f"""WITH {P.UCL}, e AS (SELECT class, sum(n) / (SELECT sum(n) FROM ucl) AS e FROM ucl GROUP BY class), i AS (SELECT 'c' || CAST(p_size AS VARCHAR) AS class, count(*) / (SELECT count(*) FROM part) AS i FROM part GROUP BY 1)
-    SELECT class, round(0.25 * coalesce(e, 0) + 0.75 * coalesce(i, 0), 6) AS mass FROM e FULL JOIN i USING (class)""",
+    SELECT class, round(0.25 * coalesce(e, 0) + 0.75 * coalesce(i, 0), 9) AS mass FROM e FULL JOIN i USING (class)""",
 )
 def baseline_mixture(spark: SparkSession, sf: str) -> DataFrame:
     edits = P.user_classes(spark, sf).groupBy("class").agg(F.sum("edit_count").alias("mass"))
     parts = P.table(spark, sf, "part").groupBy(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("class")).agg(F.count(F.lit(1)).alias("mass"))
-    return rounded(S.baseline_mixture(edits, parts, 0.25))
+    return rounded(S.baseline_mixture(edits, parts, 0.25), 9)
 
 
 @query(
