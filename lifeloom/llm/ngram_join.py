@@ -278,7 +278,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
     pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
 
     large = members.where(F.col("n") > SMALL)
-    home = large.groupBy("rep").agg(F.min(F.struct("bucket", "n")).alias("home"))
+    # At home in its largest bucket, a group of near copies falls into few chunks.
+    home = large.groupBy("rep").agg(F.max(F.struct("n", "bucket")).alias("home"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.n") / CHUNK))
     chunks = Durable(home.select("rep", F.xxhash64("home.bucket", part).alias("chunk"))).df
     touched = large.select("bucket", "rep").join(chunks, "rep").select("bucket", "chunk").distinct()
