@@ -1,6 +1,7 @@
 """WARC archives: writing with segmentation and revisits, reading with segment reassembly.
 
-Records are written as WARC/1.1 files through Spark's own writer, so that archives can lie in any store Spark writes.
+Records are written as WARC/1.1 files, compressed with gzip, through Spark's own writer, so that archives can lie in any
+store Spark writes.
 A record's block is an HTTP response whose body has chunked transfer framing. A block longer than a segment is split:
 the first segment keeps the record's type and id, the others are `continuation` records with WARC-Segment-Origin-ID
 and ascending WARC-Segment-Number, the last one with WARC-Segment-Total-Length.
@@ -11,6 +12,7 @@ segment number, verifies the total length, decodes the chunks and compares the p
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -143,7 +145,7 @@ def write_warc(pages: DataFrame, path: str, minimum: int = MIN_REVISIT) -> None:
 
     # Each record ends with two line ends: its own, and the writer's.
     lines = with_revisits(pages, minimum).mapInPandas(run, "value string")
-    lines.write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS).text(path)
+    lines.write.options(lineSep=_END, maxRecordsPerFile=RECORDS, compression="gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -179,7 +181,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b["content"]:
                 out = []
-                for h, block in parse(data):
+                for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     more = "warc-segment-number" in h
                     page, to = h.get("page-id"), h.get("refers-to-page-id")
                     out.append(
@@ -202,7 +204,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                     frame[c] = frame[c].astype(kind)
                 yield frame
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt{,.gz}").load(path).select("content")
     return files.mapInPandas(run, _SEGMENTS)
 
 
