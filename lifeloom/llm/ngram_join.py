@@ -293,9 +293,10 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
     first, second = chunks.select(F.col("rep").alias("a"), F.col("chunk").alias("p")), chunks.select(F.col("rep").alias("b"), F.col("chunk").alias("q"))
     placed = pairs.join(first, "a", "left").join(second, "b", "left")
     compared = met.select(F.col("a").alias("p"), F.col("b").alias("q"))
-    pairs = Durable(
-        placed.withColumns({"p": F.least("p", "q"), "q": F.greatest("p", "q")}).join(compared, ["p", "q"], "left_anti").select("a", "b")
-    ).df
+    # A pair of which one has no chunk is compared by no task; least() alone would take it for the other's own chunk.
+    both = F.col("p").isNotNull() & F.col("q").isNotNull()
+    sides_of = {"p": F.when(both, F.least("p", "q")), "q": F.when(both, F.greatest("p", "q"))}
+    pairs = Durable(placed.withColumns(sides_of).join(compared, ["p", "q"], "left_anti").select("a", "b")).df
 
     needed = chunks.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = classes.select("rep", "key", "weight").join(needed, "rep")
