@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeloom.operators.intervals import intersect, merge, subtract
+from lifeloom.session import cut_lineage
 
 #: Constraint kinds and their items in the public knowledge graph.
 KINDS = {
@@ -66,13 +67,15 @@ def active_intervals(types: DataFrame, links: DataFrame, ranks: DataFrame) -> Da
     preferred.
     """
     keys, whole = ["prop", "kind", "statement"], ["prop", "kind"]
-    base = intersect(types.select(*keys, "start", "end"), links.select(*keys, "start", "end"), keys)
-    normal = intersect(base, ranks.where(F.col("rank") == NORMAL).select(*keys, "start", "end"), keys)
-    preferred = intersect(base, ranks.where(F.col("rank") == PREFERRED).select(*keys, "start", "end"), keys)
+    # Each step reads the one before it more than once: cut, or the plan grows with every step.
+    ranks = cut_lineage(ranks)
+    base = cut_lineage(intersect(types.select(*keys, "start", "end"), links.select(*keys, "start", "end"), keys))
+    normal = cut_lineage(intersect(base, ranks.where(F.col("rank") == NORMAL).select(*keys, "start", "end"), keys))
+    preferred = cut_lineage(intersect(base, ranks.where(F.col("rank") == PREFERRED).select(*keys, "start", "end"), keys))
     reigning = merge(preferred.select(*whole, "start", "end"), whole)
     # What any statement of the property takes away, it takes from each of them.
     taken = normal.select(*keys).distinct().join(reigning, whole).select(*keys, "start", "end")
-    return merge(subtract(normal, taken, keys).unionByName(preferred), keys)
+    return cut_lineage(merge(subtract(normal, taken, keys).unionByName(preferred), keys))
 
 
 def rank_report(ranks: DataFrame, own: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def active_qualifiers(active: DataFrame, qualifiers: DataFrame, qualifier: str)
     keys = ["prop", "kind", "statement", "value"]
     own = qualifiers.where(F.col("qualifier") == qualifier).select(*keys, "start", "end")
     held = own.select(*keys).distinct().join(active, ["prop", "kind", "statement"]).select(*keys, "start", "end")
-    return intersect(own, held, keys)
+    return cut_lineage(intersect(own, held, keys))
 
 
 def property_value_pairs(active: DataFrame, qualifiers: DataFrame) -> DataFrame:
