@@ -32,8 +32,10 @@ RECALL = 0.9999
 ROWS = 6
 #: Members up to which a bucket gives its pairs; larger ones are compared in chunks.
 SMALL = 16
-#: Members of a chunk, about.
-CHUNK = 1024
+#: N-grams of a chunk, about: 8 MB of hashes. Long texts make small chunks.
+CHUNK_GRAMS = 1_000_000
+#: Members of a chunk, about: their matrix of counts has 33 MB.
+CHUNK = 2048
 #: N-grams whose columns are multiplied at once.
 COLUMNS = 4096
 #: Characters of text whose n-grams are hashed at once.
@@ -269,7 +271,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
         )
     ).df
     entries = classes.select("rep", "grams", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("mass")).where("n > 1")
     members = Durable(entries.join(buckets, "bucket")).df
 
     small = members.where(F.col("n") <= SMALL)
@@ -279,8 +281,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
 
     large = members.where(F.col("n") > SMALL)
     # At home in its largest bucket, a group of near copies falls into few chunks.
-    home = large.groupBy("rep").agg(F.max(F.struct("n", "bucket")).alias("home"))
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.n") / CHUNK))
+    home = large.groupBy("rep").agg(F.max(F.struct("n", "bucket", "mass")).alias("home"))
+    parts = F.greatest(F.ceil(F.col("home.n") / CHUNK), F.ceil(F.col("home.mass") / CHUNK_GRAMS))
+    part = F.pmod(F.xxhash64("rep"), parts)
     chunks = Durable(home.select("rep", F.xxhash64("home.bucket", part).alias("chunk"))).df
     touched = large.select("bucket", "rep").join(chunks, "rep").select("bucket", "chunk").distinct()
     met = Durable(
