@@ -24,9 +24,9 @@ MODEL = "piece_bpe_32k.model"
 #: A character without a piece costs this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Word bytes that are laid out at once in the dynamic programme.
-PLANE = 2_000_000
+PLANE = 1_000_000
 #: Encoded words that a task keeps at hand.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 200_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 
 
@@ -218,7 +218,7 @@ class Unigram:
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Places of distinct words among the known ones; words not met lately are encoded."""
-        if len(self.known) + len(words) > KNOWN_WORDS:
+        if len(self.known) + len(words) > KNOWN_WORDS or len(self.ids) > 8 * KNOWN_WORDS:
             self.forget()
         new = [w for w in words if w not in self.known]
         ids, size, score = self.encode_words([w.encode("utf-8", "replace") for w in new])
@@ -251,7 +251,7 @@ class Unigram:
 
 
 SCHEMA = "doc_id long, ids binary, n_ids long, n_byte_ids long, score double, decoded string"
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _batches(texts: list, limit: int) -> Iterator[tuple[int, int]]:
