@@ -142,6 +142,33 @@ def test_components_of_a_long_path(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_paths_in_bad_orders(spark):
+    edges, want = [], {}
+
+    def path(ids):
+        start = len(want)
+        edges.extend((start + a, start + b) for a, b in zip(ids, ids[1:], strict=False))
+        want.update({start + i: start for i in ids})
+
+    path([*range(1, 400), 0])
+    path([x for p in zip(range(200), range(399, 199, -1), strict=True) for x in p])
+    path(sorted(range(400), key=lambda i: f"{i:09b}"[::-1]))
+    for seed in range(3):
+        ids = list(range(400))
+        random.Random(seed).shuffle(ids)
+        path(ids)
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == want
+
+
+def test_ngram_join_of_a_chain_of_revisions(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(600)]
+    rows = [(i % 100 + 1, " ".join(words[5 * k : 5 * k + 60])) for k, i in enumerate(range(1, 101))]
+    got = sorted(map(tuple, ngram_join.similar_documents(docs(spark, rows)).collect()))
+    assert got == brute(rows) and {c for _, c, _ in got} == {1} and max(n for *_, n in got) == 2
+
+
 # WARC
 
 
