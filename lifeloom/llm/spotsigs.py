@@ -3,11 +3,13 @@
 A signature is the chain of content words that follows an anchor, a common word such as an article; the fingerprint of
 a text is the set of its hashed signatures. Anchors stand everywhere in running text and hardly in page furniture, so
 the set describes the text and not its frame. Two sets can only reach a Jaccard likeness t if the smaller has at least
-t times the size of the larger, so comparisons are partitioned by set size and pruned by it.
+t times the size of the larger, so the comparisons of similar_pairs() are partitioned by set size and pruned by it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,10 @@ ANCHORS = {
 CHAIN = 2
 #: Texts with fewer signatures are described by all their chains, as if every word were an anchor.
 MIN_SIGNATURES = 4
+#: Likeness from which documents are similar.
 THRESHOLD = 0.8
+#: Room for rounding in the bounds that rule pairs out; the likeness itself is compared without it.
+_SLACK = 1e-9
 _MARK = "#"
 
 
@@ -157,3 +162,53 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
+
+
+def near_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, likeness), once for each two rows of sets (set, own) that reach the threshold; no set may occur twice.
+
+    A set's partition is the logarithm of its size to the base 1 / threshold, so sets that can be similar are in the
+    same or in neighbouring partitions. Signatures are ordered by the number of sets that hold them. Similar sets share
+    one of their first n - ceil(threshold * n) + 1 signatures, so only these rare ones give candidates. A candidate is
+    compared if sizes, and what is left of both sets after the first shared signature, let it reach the threshold.
+    Empty sets give no pair.
+    """
+    entries = sets.select("set", F.size("own").alias("n"), F.explode("own").alias("sig"))
+    often = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("held"))
+    ordered = entries.join(often, "sig").groupBy("set").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "sig"))).alias("order"))
+    rare = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - _SLACK) + 1).cast("int")
+    partition = F.floor(F.log("n") / F.lit(_SLACK - math.log(threshold)))
+    heads = ordered.select("set", "n", partition.alias("partition"), F.posexplode(F.slice("order", F.lit(1), rare)).alias("at", "x")).where("x.held > 1")
+    heads = durable(heads.select("set", "n", "partition", "at", F.col("x.sig").alias("sig")))
+    larger = heads.select("sig", "partition", F.col("set").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    other = heads.select(
+        "sig", F.explode(F.array(F.col("partition"), F.col("partition") + 1)).alias("partition"), F.col("partition").alias("own_partition"),
+        F.col("set").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"),
+    )
+    once = (F.col("own_partition") < F.col("partition")) | (F.col("a") < F.col("b"))
+    fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold) - _SLACK
+    met = larger.join(other, ["sig", "partition"]).where(once & fits)
+    first = met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"))
+    most = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    candidates = first.where(most * F.lit(1 + threshold) >= (F.col("a_n") + F.col("b_n")) * F.lit(threshold) - _SLACK).select("a", "b")
+    own, its = sets.select(F.col("set").alias("a"), F.col("own").alias("a_own")), sets.select(F.col("set").alias("b"), F.col("own").alias("b_own"))
+    compared = candidates.join(own, "a").join(its, "b").select("a", "b", likeness(F.col("a_own"), F.col("b_own"), threshold - _SLACK).alias("likeness"))
+    return compared.where(F.col("likeness") >= threshold)
+
+
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, other_id, likeness) of all documents, doc_id < other_id, whose signature sets reach the threshold.
+
+    Documents with equal sets are one set in the comparisons and are paired at the end, as those without words are, with
+    likeness 1; a group of n similar documents has about n * n / 2 rows in the result. Of a repeated doc_id the most
+    similar rows count. Null ids take no part.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    signed = with_signatures(texts.where("doc_id is not null"), {"own": "text"})
+    signed = durable(signed.select("doc_id", F.sha2(as_string(F.col("own")), 256).alias("set"), "own"))
+    near = near_sets(durable(signed.groupBy("set").agg(F.first("own").alias("own"))), threshold)
+    members = signed.select("doc_id", "set").distinct()
+    one, two = members.select(F.col("doc_id").alias("x"), F.col("set").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("set").alias("b"))
+    same = one.join(two.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y", F.lit(1.0).alias("likeness"))
+    pairs = near.join(one, "a").join(two, "b").where("x <> y").select("x", "y", "likeness").union(same)
+    return pairs.groupBy(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_id")).agg(F.max("likeness").alias("likeness"))

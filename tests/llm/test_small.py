@@ -281,6 +281,31 @@ def test_spotsigs_against_plain_python(spark):
         assert sets.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
+def test_similar_pairs_against_brute_force(spark, threshold):
+    r = random.Random(8)
+    some = ["the", "is", "and", "of", *("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60))]
+    rows = []
+    for size in (12, 6, 3, 3, 1, 1, 1, 1):
+        base = [r.choice(some[:4]) if r.random() < 0.4 else r.choice(some[4:]) for _ in range(r.choice([6, 20, 60, 120]))]
+        for _ in range(size):
+            own = [w for w in base if r.random() > 0.01]
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(len(own))] = r.choice(some)
+            rows.append((r.randrange(10**6), " ".join(own)))
+    a, b = "the a1 b1 the a2 b2 the a3 b3 the a4 b4", " the a5 b5"
+    rows += [(5, a), (3, a + b), (1, None), (2, "?"), (7, rows[0][1]), (7, rows[14][1]), (8, rows[0][1])]
+    got = {(x.doc_id, x.other_id): x.likeness for x in spotsigs.similar_pairs(docs(spark, [*rows, (None, a)]), threshold).collect()}
+    want = {}
+    for i, t in rows:
+        for j, u in rows:
+            x, y = plain_signatures(t), plain_signatures(u)
+            near = 1.0 if x == y else len(x & y) / len(x | y)
+            if i < j and near >= threshold:
+                want[i, j] = max(near, want.get((i, j), 0))
+    assert len(want) > 4 and got == pytest.approx(want) and ((3, 5) in want) == (threshold < 1)
+
+
 # Top-k
 
 
