@@ -3,10 +3,11 @@
 The index holds, for each word of the licence templates, its postings (template, position) and its inverse document
 frequency over the templates. A file's licence words are looked up rarest first; postings of the same template that
 agree on the relative position (place in the file less place in the template) are intersected into alignments; an
-alignment becomes a label only if the template's mandatory key phrases stand in the file as consecutive words.
+alignment becomes a label if and only if the template's mandatory key phrases stand in the file as consecutive words.
+How much of the wording stands around them is the score.
 
-Two stop-gaps keep common words cheap without losing alignments: only a template's rarest words (its anchors) open an
-alignment, and the other words of the template are then counted along it.
+Two stop-gaps keep common words cheap without losing alignments: only a template's rarest words and the rarest of each
+key phrase (its anchors) open an alignment, and the other words of the template are then counted along it.
 """
 
 from __future__ import annotations
@@ -72,8 +73,6 @@ TEMPLATES = {
 }
 #: The rarest words of each template that open alignments.
 ANCHORS = 3
-#: Share of the template's IDF weight that has to stand at the right relative positions.
-MIN_COVER = 0.6
 
 
 @dataclass(frozen=True)
@@ -98,7 +97,8 @@ class Index:
         for t, (label, words) in enumerate(split.items()):
             keys = tuple(tuple(words_of(k)) for k in templates[label][1])
             self.templates.append(Template(label, words, keys, sum(self.idf[w] for w in words)))
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:anchors]
+            rarest_first = sorted(set(words), key=lambda w: (-self.idf[w], w))
+            rare = {*rarest_first[:anchors], *(w for k in keys for w in [x for x in rarest_first if x in k][:1])}
             for i, w in enumerate(words):
                 if w in rare:
                     self.postings[w].append((t, i))
@@ -125,10 +125,9 @@ class Index:
                 if (t, i - p) in tried:
                     continue
                 tried.add((t, i - p))
-                cover = self.cover(words, t, i - p)
-                if cover >= MIN_COVER and all(self.verified(words, k, i - p, t) for k in self.templates[t].keys):
+                if all(self.verified(words, k, i - p, t) for k in self.templates[t].keys):
                     labels.add(self.templates[t].label)
-                    score = max(score, cover)
+                    score = max(score, self.cover(words, t, i - p))
         return len(places), min(places, default=None), max(places, default=None), base, labels, min(1.0, score)
 
     def cover(self, words: list[bytes], t: int, shift: int) -> float:

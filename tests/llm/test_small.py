@@ -90,6 +90,29 @@ def test_label_needs_its_key_phrase():
     assert "apache-2.0" not in index.scan(words_of("licensed under the apache version 2 0 license"))[4]
 
 
+SHORT = {
+    "CC0 1.0 Universal": "cc0",
+    "released under CC0 1.0 Universal": "cc0",
+    "GNU General Public License version 2": "gpl-2.0",
+    "GNU General Public License, version 3": "gpl-3.0",
+    "free and unencumbered software": "unlicense",
+}
+
+
+@pytest.mark.parametrize("notice", SHORT)
+def test_short_notices_have_their_label(notice):
+    index = licenses.Index()
+    for text in (notice, "x " * 40 + notice + " y" * 40):
+        *_, base, labels, score = index.scan(words_of(text))
+        assert labels - base == {SHORT[notice]} and 0 < score <= 1
+
+
+@pytest.mark.parametrize("label", licenses.TEMPLATES)
+def test_key_phrases_alone_give_the_label(label):
+    keys = " and ".join(licenses.TEMPLATES[label][1])
+    assert label in licenses.Index().scan(words_of(f"x {keys} y"))[4]
+
+
 # Near-duplicates
 
 
