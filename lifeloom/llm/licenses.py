@@ -4,7 +4,8 @@ The index holds, for each word of the licence templates, its postings (template,
 frequency over the templates. A file's licence words are looked up rarest first; postings of the same template that
 agree on the relative position (place in the file less place in the template) are intersected into alignments; an
 alignment becomes a label if and only if the template's mandatory key phrases stand in the file as consecutive words.
-How much of the wording stands around them is the score.
+How much of the wording stands around them is the score. Base phrases are templates of the same index, each its own
+key phrase: an alignment at which the whole phrase stands is one place of it.
 
 Two stop-gaps keep common words cheap without losing alignments: only a template's rarest words and the rarest of each
 key phrase (its anchors) open an alignment, and the other words of the template are then counted along it.
@@ -81,10 +82,11 @@ class Template:
     words: tuple[bytes, ...]
     keys: tuple[tuple[bytes, ...], ...]
     weight: float
+    base: bool = False
 
 
 class Index:
-    """Positional index over the licence templates."""
+    """Positional index over the licence templates and the base phrases."""
 
     def __init__(self, templates: dict = TEMPLATES, base: dict = BASE_PHRASES, anchors: int = ANCHORS):
         split = {label: tuple(words_of(text)) for label, (text, _) in templates.items()}
@@ -102,33 +104,38 @@ class Index:
             for i, w in enumerate(words):
                 if w in rare:
                     self.postings[w].append((t, i))
-        self.base = [(tuple(words_of(p)), label) for p, label in base.items()]
-        self.wanted = frozenset(self.postings) | {p[0] for p, _ in self.base}
+        for phrase, label in base.items():
+            words = tuple(words_of(phrase))
+            for w in words:  # a word of no licence wording is rarer than all of them
+                self.idf.setdefault(w, math.log(2 + len(split)))
+            self.templates.append(Template(label, words, (words,), sum(self.idf[w] for w in words), base=True))
+            rarest = max(words, key=lambda w: (self.idf[w], w))
+            # One place is enough: if the phrase stands in the file, so does the word at that place.
+            self.postings[rarest].append((len(self.templates) - 1, words.index(rarest)))
+        self.wanted = frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """(places of base phrases, first place, last place, base labels, all labels, score) of a file's words."""
         if self.wanted.isdisjoint(words):
             return 0, None, None, set(), set(), 0.0
         found = [(i, w) for i, w in enumerate(words) if w in self.wanted]
-        places, base = [], set()
-        for phrase, label in self.base:
-            n = len(phrase)
-            at = [i for i, w in found if w == phrase[0] and tuple(words[i : i + n]) == phrase]
-            if at:
-                places += at
-                base.add(label)
-        labels, score = set(base), 1.0 if base else 0.0
+        places, base, labels, score = [], set(), set(), 0.0
         tried = set()
-        rare = [(i, w) for i, w in found if w in self.postings]
-        for i, w in sorted(rare, key=lambda x: (-self.idf[x[1]], x[0])):
+        for i, w in sorted(found, key=lambda x: (-self.idf[x[1]], x[0])):
             for t, p in self.postings[w]:
                 if (t, i - p) in tried:
                     continue
                 tried.add((t, i - p))
-                if all(self.verified(words, k, i - p, t) for k in self.templates[t].keys):
+                x = self.templates[t]
+                if x.base:
+                    if i >= p and tuple(words[i - p : i - p + len(x.words)]) == x.words:
+                        places.append(i - p)
+                        base.add(x.label)
+                elif all(self.verified(words, k, i - p, t) for k in self.templates[t].keys):
                     labels.add(self.templates[t].label)
                     score = max(score, self.cover(words, t, i - p))
-        return len(places), min(places, default=None), max(places, default=None), base, labels, min(1.0, score)
+        score = 1.0 if base else min(1.0, score)
+        return len(places), min(places, default=None), max(places, default=None), base, labels | base, score
 
     def cover(self, words: list[bytes], t: int, shift: int) -> float:
         """IDF share of the template's words that stand at its positions moved by shift."""

@@ -113,6 +113,21 @@ def test_key_phrases_alone_give_the_label(label):
     assert label in licenses.Index().scan(words_of(f"x {keys} y"))[4]
 
 
+def test_base_phrases_are_found_through_the_index():
+    phrases = {**licenses.BASE_PHRASES, "zeta of zeta": "zeta", "a a": "aa"}
+    index = licenses.Index(base=phrases)
+    posted = {t for at in index.postings.values() for t, _ in at}
+    assert {index.templates[t].label for t in posted if index.templates[t].base} == set(phrases.values())
+    some = sorted({w for p in phrases for w in p.split()})
+    r = random.Random(9)
+    for n in (0, 1, 2, 3, 8, 60, 400):
+        words = [w for _ in range(n) for w in (r.choice(list(phrases)).split() if r.random() < 0.4 else [r.choice(some)])]
+        at = [(i, p) for p in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in at]
+        got = index.scan([w.encode() for w in words])
+        assert got[:4] == (len(at), min(places, default=None), max(places, default=None), {phrases[p] for _, p in at})
+
+
 # Near-duplicates
 
 
