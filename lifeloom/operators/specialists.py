@@ -211,6 +211,65 @@ def cluster_ownership(counts: DataFrame, clusters: DataFrame, alpha: float = 0.5
     )
 
 
+#: Soft ownership: users of the property, owner's share, enrichment and coverage, purity, and the second's share at most.
+SOFT = {"min_users": 30, "min_share": 0.45, "min_enrichment": 3.0, "min_coverage": 0.02, "min_purity": 0.45, "max_second": 0.35}
+
+
+def with_soft_class(owned: DataFrame) -> DataFrame:
+    """Rows of cluster_ownership() with class_soft, the class under the softer thresholds."""
+    soft = (
+        F.when(F.col("n_p") < SOFT["min_users"], "rare/unstable")
+        .when(
+            (F.col("owner_share") >= SOFT["min_share"])
+            & (F.col("owner_enrichment") >= SOFT["min_enrichment"])
+            & (F.col("purity") >= SOFT["min_purity"])
+            & (F.col("owner_coverage") >= SOFT["min_coverage"])
+            & (F.col("second_share") <= SOFT["max_second"]),
+            "community-owned-soft",
+        )
+        .when((F.col("second_share") >= 0.25) & (F.col("purity") >= 0.20), "bridge/multi-community")
+        .otherwise("generic/mixed")
+    )
+    return owned.withColumn("class_soft", soft)
+
+
+def borderline(owned: DataFrame, min_users: int = 30, min_enrichment: float = 3.0, low: float = 0.40, high: float = 0.60) -> DataFrame:
+    """Rows of cluster_ownership() near the boundary: supported, enriched, and an owner's share from low to high."""
+    return owned.where((F.col("n_p") >= min_users) & (F.col("owner_enrichment") >= min_enrichment) & F.col("owner_share").between(low, high))
+
+
+def cluster_profile(counts: DataFrame, clusters: DataFrame, top: int = 10) -> DataFrame:
+    """The main properties of each cluster: those among the first by mean TF-IDF or among the first by coverage.
+
+    (cluster, property, users_in_cluster, total_edits_in_cluster, global_users, coverage, cluster_share, mean_tfidf,
+    place_by_tfidf, place_by_coverage). clusters: (user, cluster). The mean is over all users of the cluster, those
+    without the property as zero; coverage is the share of them that use it, cluster_share the share of the property's
+    users that are in the cluster. Equal values go to the property that comes first by name.
+    """
+    size = clusters.groupBy("cluster").agg(F.countDistinct("user").alias("n_c"))
+    everyone = counts.groupBy("property").agg(F.countDistinct("user").alias("global_users"))
+    found = counts.join(tfidf(counts).select("user", "property", "tfidf"), ["user", "property"]).join(clusters, "user")
+    found = found.groupBy("cluster", "property").agg(
+        F.countDistinct("user").alias("users_in_cluster"), F.sum("count").alias("total_edits_in_cluster"), F.sum("tfidf").alias("s")
+    )
+    rows = found.join(size, "cluster").join(everyone, "property")
+    rows = rows.withColumns(
+        {
+            "coverage": F.col("users_in_cluster") / F.col("n_c"),
+            "cluster_share": F.col("users_in_cluster") / F.col("global_users"),
+            "mean_tfidf": F.col("s") / F.col("n_c"),
+        }
+    )
+    by = Window.partitionBy("cluster")
+    rows = rows.withColumns(
+        {
+            "place_by_tfidf": F.row_number().over(by.orderBy(F.desc(F.round("mean_tfidf", 9)), "property")),
+            "place_by_coverage": F.row_number().over(by.orderBy(F.desc("users_in_cluster"), "property")),
+        }
+    )
+    return rows.where(F.least("place_by_tfidf", "place_by_coverage") <= top).drop("n_c", "s")
+
+
 def class_profile(counts: DataFrame) -> DataFrame:
     """A row for each user of (user, class, edit_count): shares of the two main classes, entropy, effective classes."""
     by = Window.partitionBy("user")

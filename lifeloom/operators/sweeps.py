@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lifeloom.operators.specialists import portfolio
+from lifeloom.operators.specialists import average_rank, portfolio
 
 GRID = ("min_prop_edits", "min_user_edits", "min_share", "min_focus")
 
@@ -111,3 +111,56 @@ def ablation(counts: DataFrame, excluded: DataFrame, metric) -> DataFrame:
     left = counts.join(excluded.select("user").distinct(), "user", "left_anti")
     met = long(metric(counts), "before").join(long(metric(left), "after"), "metric")
     return met.withColumn("change", F.col("after") - F.col("before"))
+
+
+def gap_table(summary: DataFrame) -> DataFrame:
+    """(min_share, min_focus, mean_gap, mean_portfolio_n, min_gap, max_gap) over the other two thresholds of sensitivity().
+
+    The gap is the median owned fraction of portfolio owners less that of single-property owners; runs without one of
+    the two have none.
+    """
+    gap = F.col("median_owned_edit_fraction_portfolio") - F.col("median_owned_edit_fraction_property")
+    return summary.withColumn("gap", gap).groupBy("min_share", "min_focus").agg(
+        F.avg("gap").alias("mean_gap"), F.avg("n_portfolio_specialists").alias("mean_portfolio_n"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap")
+    )
+
+
+def heat_map(gaps: DataFrame, focus: list[float], value: str = "mean_gap") -> DataFrame:
+    """gap_table() with a row for each min_share and a column of the value for each of the min_focus values."""
+    return gaps.groupBy("min_share").pivot("min_focus", focus).agg(F.first(value))
+
+
+def kl_sweep(counts: DataFrame, baselines: DataFrame, min_edits: list[int], alphas: list[float], min_classes: int = 2) -> DataFrame:
+    """(baseline, min_edits, alpha, user, kl_divergence_smoothed, place): smoothed_kl() under each of the settings at once.
+
+    counts: (user, class, edit_count). baselines: (baseline, class, mass). place is the order by falling divergence
+    within a setting; divergences equal to nine digits go by the user's name.
+    """
+    spark = counts.sparkSession
+    cuts = F.broadcast(spark.createDataFrame([(x,) for x in dict.fromkeys(min_edits)], "min_edits long"))
+    steps = F.broadcast(spark.createDataFrame([(float(x),) for x in dict.fromkeys(alphas)], "alpha double"))
+    by = Window.partitionBy("user")
+    rows = counts.withColumns({"total": F.sum("edit_count").over(by), "kinds": F.count(F.lit(1)).over(by)}).where(F.col("kinds") >= min_classes)
+    rows = rows.join(cuts, F.col("total") >= F.col("min_edits"))
+    whole = baselines.groupBy("baseline").agg(F.sum("mass").alias("whole"))
+    known = rows.select("min_edits", "class").distinct().crossJoin(F.broadcast(whole.select("baseline")))  # the caller's few baselines
+    known = known.union(baselines.select("class", "baseline").distinct().crossJoin(cuts).select("min_edits", "class", "baseline"))
+    sizes = known.distinct().groupBy("baseline", "min_edits").agg(F.count(F.lit(1)).alias("k")).join(whole, "baseline")
+    met = rows.join(F.broadcast(sizes), "min_edits").join(baselines, ["baseline", "class"], "left").crossJoin(steps)
+    q = (F.coalesce("mass", F.lit(0)) + F.col("alpha")) / (F.col("whole") + F.col("alpha") * F.col("k"))
+    p = F.col("edit_count") / F.col("total")
+    run = ["baseline", "min_edits", "alpha"]
+    sums = met.groupBy(*run, "user").agg(F.sum(p * F.log2(p / q)).alias("kl_divergence_smoothed"))
+    order = Window.partitionBy(*run).orderBy(F.desc(F.round("kl_divergence_smoothed", 9)), "user")
+    return sums.withColumn("place", F.row_number().over(order))
+
+
+def kl_comparison(swept: DataFrame, one: str, other: str, min_edits: int = 50, top: int = 10) -> DataFrame:
+    """(alpha, shared_top, spearman) of two baselines of kl_sweep(): users among the first of both, rank correlation."""
+    rows = swept.where(F.col("min_edits") == min_edits).withColumn("kl", F.round("kl_divergence_smoothed", 9))
+    ranked = average_rank(rows, "kl", ["baseline", "alpha"], "r")
+    x = ranked.where(F.col("baseline") == one).select("alpha", "user", F.col("place").alias("p1"), F.col("r").alias("r1"))
+    y = ranked.where(F.col("baseline") == other).select("alpha", "user", F.col("place").alias("p2"), F.col("r").alias("r2"))
+    return x.join(y, ["alpha", "user"]).groupBy("alpha").agg(
+        F.count_if((F.col("p1") <= top) & (F.col("p2") <= top)).alias("shared_top"), F.corr("r1", "r2").alias("spearman")
+    )

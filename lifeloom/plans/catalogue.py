@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_text(name: str) -> str:
+    """SQL of a query that is registered already, for queries built on it."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from lifeloom.plans import history_queries, specialist_queries  # noqa: F401
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lifeloom.operators import specialists as S
 from lifeloom.operators import sweeps
 from lifeloom.plans import projections as P
-from lifeloom.plans.catalogue import query
+from lifeloom.plans.catalogue import oracle_text, query
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -326,3 +326,99 @@ def baseline_mixture(spark: SparkSession, sf: str) -> DataFrame:
 )
 def average_rank(spark: SparkSession, sf: str) -> DataFrame:
     return S.average_rank(P.user_properties(spark, sf), "count", ["property"]).select("user", "property", "avg_rank")
+
+
+def _owned(spark: SparkSession, sf: str) -> DataFrame:
+    counts = P.user_properties(spark, sf)
+    return S.cluster_ownership(counts, counts.select("user").distinct().withColumn("cluster", F.substring("user", 2, 20).cast("long") % 4))
+
+
+@query(
+    "community_ownership_soft",
+    with_total(
+        _CLUSTERS
+        + """ SELECT property, cluster AS owner_cluster, CASE WHEN n_p < 30 THEN 'rare/unstable' WHEN sh >= 0.45 AND er >= 3 AND 1 - en >= 0.45 AND cv >= 0.02 AND s2 <= 0.35 THEN 'community-owned-soft'
+    WHEN s2 >= 0.25 AND 1 - en >= 0.2 THEN 'bridge/multi-community' ELSE 'generic/mixed' END AS class_soft FROM ra WHERE place = 1"""
+    ),
+)
+def community_ownership_soft(spark: SparkSession, sf: str) -> DataFrame:
+    return S.with_soft_class(_owned(spark, sf)).select("property", "owner_cluster", "class_soft")
+
+
+@query(
+    "community_borderline",
+    with_total(_CLUSTERS + """ SELECT property, cluster AS owner_cluster, round(sh, 6) AS owner_share FROM ra WHERE place = 1 AND n_p >= 20 AND er >= 1.05 AND sh BETWEEN 0.26 AND 0.60"""),
+)
+def community_borderline(spark: SparkSession, sf: str) -> DataFrame:
+    """At bounds that the test tables' even shares come near to."""
+    return rounded(S.borderline(_owned(spark, sf), 20, 1.05, 0.26, 0.60).select("property", "owner_cluster", "owner_share"))
+
+
+@query(
+    "cluster_profile",
+    f"""WITH {P.UPC}, cl AS (SELECT DISTINCT "user", CAST(substr("user", 2) AS BIGINT) % 4 AS cluster FROM upc), nc AS (SELECT cluster, count(*) AS n_c FROM cl GROUP BY 1),
+    g AS (SELECT property, count(*) AS global_users FROM upc GROUP BY 1), w AS (SELECT "user", property, n, n * (ln((1 + (SELECT count(*) FROM cl)) / (1 + global_users)) + 1) AS raw FROM upc JOIN g USING (property)),
+    ti AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY "user")) AS score FROM w),
+    a AS (SELECT cluster, property, count(*) AS users_in_cluster, CAST(sum(n) AS BIGINT) AS total_edits_in_cluster, sum(score) AS s FROM ti JOIN cl USING ("user") GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(s / n_c, 9) DESC, property) AS place_by_tfidf, row_number() OVER (PARTITION BY cluster ORDER BY users_in_cluster DESC, property) AS place_by_coverage FROM a JOIN nc USING (cluster) JOIN g USING (property))
+    SELECT cluster, property, users_in_cluster, total_edits_in_cluster, global_users, round(users_in_cluster / n_c, 6) AS coverage, round(users_in_cluster / global_users, 6) AS cluster_share, round(s / n_c, 6) AS mean_tfidf, place_by_tfidf, place_by_coverage
+    FROM r WHERE place_by_tfidf <= 5 OR place_by_coverage <= 5""",
+)
+def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
+    counts = P.user_properties(spark, sf)
+    clusters = counts.select("user").distinct().withColumn("cluster", F.substring("user", 2, 20).cast("long") % 4)
+    return rounded(S.cluster_profile(counts, clusters, 5))
+
+
+@query(
+    "threshold_gap_table",
+    f"""WITH s AS (SELECT *, median_owned_edit_fraction_portfolio - median_owned_edit_fraction_property AS gap FROM ({oracle_text('threshold_sensitivity')})),
+    t AS (SELECT min_share, min_focus, avg(gap) AS g, avg(n_portfolio_specialists) AS n, min(gap) AS lo, max(gap) AS hi FROM s GROUP BY ALL),
+    h AS (SELECT min_share, any_value(g) FILTER (min_focus = 0.05) AS a, any_value(g) FILTER (min_focus = 0.15) AS b FROM t GROUP BY 1)
+    SELECT min_share, min_focus, round(g, 6) AS mean_gap, round(n, 6) AS mean_portfolio_n, round(lo, 6) AS min_gap, round(hi, 6) AS max_gap, round(a, 6) AS mean_gap_at_0_05, round(b, 6) AS mean_gap_at_0_15 FROM t JOIN h USING (min_share)""",
+)
+def threshold_gap_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Both levels: each cell, and beside it its row of the heat-map."""
+    gaps = sweeps.gap_table(threshold_sensitivity(spark, sf))
+    row = sweeps.heat_map(gaps, _GRID["min_focus"]).toDF("min_share", "mean_gap_at_0_05", "mean_gap_at_0_15")
+    return rounded(gaps.join(row, "min_share"))
+
+
+_LAMBDAS = (0.25, 0.5, 0.75)
+_KL = f"""{P.UCL}, e AS (SELECT class, CAST(sum(n) AS DOUBLE) AS m FROM ucl GROUP BY 1), i AS (SELECT 'c' || CAST(p_size AS VARCHAR) AS class, CAST(count(*) AS DOUBLE) AS m FROM part GROUP BY 1),
+x AS (SELECT class, coalesce(e.m, 0) / (SELECT sum(m) FROM e) AS e, coalesce(i.m, 0) / (SELECT sum(m) FROM i) AS i FROM e FULL JOIN i USING (class)),
+bl AS (SELECT 'edits' AS baseline, class, m AS mass FROM e UNION ALL SELECT 'instances', class, m FROM i {' '.join(f"UNION ALL SELECT 'mixture_{v}', class, {v} * e + {1 - v} * i FROM x" for v in _LAMBDAS)}),
+u AS (SELECT *, sum(n) OVER (PARTITION BY "user") AS total, count(*) OVER (PARTITION BY "user") AS kinds FROM ucl),
+f AS (SELECT * FROM u JOIN (VALUES (20), (30), (50)) AS t(min_edits) ON total >= min_edits WHERE kinds >= 2),
+b AS (SELECT baseline, sum(mass) AS whole FROM bl GROUP BY 1),
+kc AS (SELECT baseline, min_edits, count(*) AS k FROM (SELECT baseline, min_edits, class FROM f, b UNION SELECT baseline, min_edits, class FROM bl, (VALUES (20), (30), (50)) AS t(min_edits)) GROUP BY ALL),
+kl AS (SELECT baseline, min_edits, alpha, "user", sum((n / total) * log2((n / total) / ((coalesce(mass, 0) + alpha) / (whole + alpha * k)))) AS v
+  FROM f JOIN kc USING (min_edits) JOIN b USING (baseline) LEFT JOIN bl USING (baseline, class), (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS s(alpha) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY baseline, min_edits, alpha ORDER BY round(v, 9) DESC, "user") AS place FROM kl)"""
+
+
+def _swept(spark: SparkSession, sf: str) -> DataFrame:
+    counts = P.user_classes(spark, sf)
+    edits = counts.groupBy("class").agg(F.sum("edit_count").cast("double").alias("mass"))
+    parts = P.table(spark, sf, "part").groupBy(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("class")).agg(F.count(F.lit(1)).cast("double").alias("mass"))
+    named = {"edits": edits, "instances": parts, **{f"mixture_{v}": S.baseline_mixture(edits, parts, v) for v in _LAMBDAS}}
+    made = None
+    for name, df in named.items():
+        df = df.select(F.lit(name).alias("baseline"), "class", "mass")
+        made = df if made is None else made.union(df)
+    return sweeps.kl_sweep(counts, made, [20, 30, 50], [0.1, 0.5, 1.0])
+
+
+@query("kl_robustness", f"""WITH {_KL} SELECT baseline, min_edits, alpha, "user", round(v, 6) AS kl_divergence_smoothed, place FROM rk WHERE place <= 10""")
+def kl_robustness(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten of each of the 5 x 3 x 3 settings."""
+    return rounded(_swept(spark, sf).where("place <= 10"))
+
+
+@query(
+    "kl_baseline_comparison",
+    f"""WITH {_KL}, ar AS (SELECT *, rank() OVER (PARTITION BY baseline, alpha ORDER BY round(v, 9) DESC) + (count(*) OVER (PARTITION BY baseline, alpha, round(v, 9)) - 1) / 2 AS r FROM rk WHERE min_edits = 30)
+    SELECT alpha, count(*) FILTER (x.place <= 10 AND y.place <= 10) AS shared_top, round(corr(x.r, y.r), 6) AS spearman FROM ar x JOIN ar y USING (alpha, "user") WHERE x.baseline = 'edits' AND y.baseline = 'instances' GROUP BY alpha""",
+)
+def kl_baseline_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sweeps.kl_comparison(_swept(spark, sf), "edits", "instances", 30))
