@@ -28,7 +28,7 @@ class ByteBPE:
 
     Texts that hold the string of an added token go through the tokenizers library itself. All others go through
     tiktoken with the same vocabulary and split pattern, which gives the same ids at a quarter of the CPU time
-    (tests/llm/test_packing.py compares the two).
+    (tests/llm/test_small.py compares the two).
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
