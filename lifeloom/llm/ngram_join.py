@@ -6,7 +6,8 @@
 3. Classes meet in the buckets of equal band hashes. Small buckets give pairs. A large bucket would give the square of
    its size, so its members are dealt to chunks of bounded size, and every pair of chunks that shares a large bucket is
    compared as a whole by one task: shared n-grams are counted by matrix products, and what leaves the task is a number
-   of links for each member and a spanning forest, not the pairs.
+   of links for each member and a spanning forest, not the pairs. Members of overlapping large buckets have one leader
+   and share chunks, so a group of n members has about n / CHUNK chunks, however many buckets it fills.
 4. Every pair is verified on its n-gram sets, so all links are real; connected components give the groups.
 """
 
@@ -252,6 +253,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, a_weight long, b_weight long")
 
 
+def leaders(large: DataFrame) -> DataFrame:
+    """(rep, grams, leader) of the members (bucket, rep, grams) of large buckets.
+
+    The least member of a bucket leads it; a member follows the least leader of its buckets, and then the least that
+    members of its buckets follow. Whom members follow decides only which of them are compared by one task, not what is
+    compared: two hops reach across the buckets of a group of near copies, and chains stay apart in smaller chunks.
+    """
+    held = large.select("bucket", "rep", "grams")
+    at = F.col("rep")
+    for _ in range(2):
+        least = held.withColumn("at", at).groupBy("bucket").agg(F.min("at").alias("near"))
+        found = held.join(least, "bucket").groupBy("rep").agg(F.min("near").alias("leader"), F.first("grams").alias("grams"))
+        held = held.select("bucket", "rep", "grams").join(found.select("rep", "leader"), "rep")
+        at = F.col("leader")
+    return found.select("rep", "grams", "leader")
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, n_links) of each row of docs (doc_id, text).
 
@@ -271,7 +289,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
         )
     ).df
     entries = classes.select("rep", "grams", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("mass")).where("n > 1")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = Durable(entries.join(buckets, "bucket")).df
 
     small = members.where(F.col("n") <= SMALL)
@@ -280,11 +298,11 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
     pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
 
     large = members.where(F.col("n") > SMALL)
-    # At home in its largest bucket, a group of near copies falls into few chunks.
-    home = large.groupBy("rep").agg(F.max(F.struct("n", "bucket", "mass")).alias("home"))
-    parts = F.greatest(F.ceil(F.col("home.n") / CHUNK), F.ceil(F.col("home.mass") / CHUNK_GRAMS))
+    led = Durable(leaders(large)).df
+    groups_of = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("mass"))
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("mass") / CHUNK_GRAMS))
     part = F.pmod(F.xxhash64("rep"), parts)
-    chunks = Durable(home.select("rep", F.xxhash64("home.bucket", part).alias("chunk"))).df
+    chunks = Durable(led.join(groups_of, "leader").select("rep", F.xxhash64("leader", part).alias("chunk"))).df
     touched = large.select("bucket", "rep").join(chunks, "rep").select("bucket", "chunk").distinct()
     met = Durable(
         touched.select("bucket", F.col("chunk").alias("a"))
