@@ -15,24 +15,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lifeloom.llm.common import kept_rows
 
 UND = "und"
-#: Labelled documents a language on average in the fit, at most; a hash of the id chooses them.
+#: Labelled documents of a language in the fit, at most; a hash of the id chooses them. Their texts are whole.
 SAMPLE_ROWS = 600
-#: Longest text of that sample, in characters; longer ones are left out of the fit (never of the prediction).
-SAMPLE_CHARS = 20_000
-#: Documents of the fit in all, at most.
+#: Documents of the fit in all, at most, but for one of each language.
 SAMPLE_TOTAL = 20_000
+#: Languages that a model holds in memory (128 kB each); more are an error, none is left out.
+MAX_LANGUAGES = 2000
 BUCKETS = 1 << 15
 SMOOTHING = 0.25
-STEPS = 12
-#: A share that changes less ends the estimation.
+#: A change of all shares by less ends the estimation.
 TOLERANCE = 1e-3
 PENALTY = 3.0
+#: Share of a text's n-grams that its first language must hold for a filter to keep the text.
+MIN_SHARE = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -74,15 +75,16 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def shares(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-    """EM: the mixture shares of the columns of p for rows that count n, and the log-likelihood."""
+    """EM: the mixture shares of the columns of p for rows that count n, and the log-likelihood.
+
+    It goes on until no share changes by TOLERANCE: the likelihood never falls and is bounded, so steps get smaller.
+    """
     share = np.full(p.shape[1], 1 / p.shape[1], np.float32)
-    total = n.sum()
-    for _ in range(STEPS if p.shape[1] > 1 else 0):
+    total, done = n.sum(), p.shape[1] == 1
+    while not done:
         new = share * (p.T @ (n / (p @ share))) / total
         done = np.abs(new - share).max() < TOLERANCE
         share = new
-        if done:
-            break
     return share, float(n @ np.log(p @ share))
 
 
@@ -110,25 +112,28 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on rows with a language that are not held out, about SAMPLE_ROWS for each language.
+    """Fit on documents with a language that are not held out, at most SAMPLE_ROWS of each language.
 
-    Rows are counted for each language (few rows come to the driver: one a language); a row is then in the sample if
-    the hash of its id falls into its language's share. That is the same at any size, with no sort and no group.
+    Rows are counted for each language (one row a language comes to the driver). A hash of the id first thins each
+    language to a little more than its bound, with no shuffle; the rows left are ranked, so the bound is exact and a
+    language with a text is never without one. Of a repeated doc_id of a language the least text counts.
     """
-    known = docs.select("doc_id", "text", "lang").where(
-        ~held_out(docs["doc_id"])
-        & docs["lang"].isNotNull()
-        & (F.length("text") > 0)
-        & (F.length("text") <= SAMPLE_CHARS)
-    )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_TOTAL).collect()
-    rows = min(SAMPLE_ROWS, SAMPLE_TOTAL // max(1, len(counts)))
+    known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
+    known = known.where(~held_out(known["doc_id"]) & known["lang"].isNotNull() & (known["text"] != ""))
+    counts = known.groupBy("lang").count().collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{len(counts)} languages, a model holds {MAX_LANGUAGES}")
     if not counts:
         return fit([])
-    part = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, rows / r["count"]))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = known.where(place < part[F.col("lang")]).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text")
-    return fit([(r.text, r.lang) for r in sample.limit(2 * SAMPLE_TOTAL).collect()])
+    rows = max(1, min(SAMPLE_ROWS, SAMPLE_TOTAL // len(counts)))
+    # So many more than the bound that fewer than the bound pass only where ids are repeated very often.
+    wanted = rows + 8 * rows**0.5 + 24
+    part = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, wanted / r["count"]))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
+    thin = known.where(place <= part[F.col("lang")]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = thin.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).orderBy("lang", "place").collect()
+    return fit([(r.text, r.lang) for r in sample])
 
 
 SCHEMA = "doc_id long, lang_pred string, score double, languages string"
@@ -157,6 +162,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs in which a language is found, with all their columns."""
-    return kept_rows(docs, lambda texts: pd.Series([bool(mixture(model, t)) for t in texts], dtype=bool))
+def keep_known(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
+    """Rows of docs of which one language holds min_share of the text at least, with all their columns.
+
+    Texts without a letter go, as do those mixed of languages of which none holds so much. Rows of equal text stay or
+    go together; an empty table stays empty.
+    """
+    return kept_rows(docs, lambda texts: pd.Series([bool(m) and m[0][1] >= min_share for m in (mixture(model, t) for t in texts)], dtype=bool))

@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 
 from lifeloom.llm.common import kept_rows
 
-#: Labelled rows of each class that a model is fitted on, at most: a hash of the id chooses them.
+#: Labelled documents of each class that a model is fitted on, at most: a hash of the id chooses them. Their texts are
+#: whole, whatever their length.
 SAMPLE_ROWS = 1500
-#: Longest text of that sample, in characters; longer ones are left out of the fit (never of the scoring).
-SAMPLE_CHARS = 20_000
 #: Bytes of a window: whole words, one at least.
 WINDOW = 7
 DICT_BYTES = 8192
@@ -171,18 +170,22 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labelled rows that are not held out: at most SAMPLE_ROWS of each class, chosen by a hash of the id."""
+    """Fit on labelled documents that are not held out: at most SAMPLE_ROWS of each class, chosen by a hash of the id.
+
+    An id that is labelled both toxic and ordinary is toxic. Of a repeated doc_id the least text counts, so neither
+    repeated rows nor repeated labels crowd out others. Null ids, null labels and empty texts teach nothing.
+    """
     known = (
         labels.where(~held_out(labels["doc_id"]) & labels["toxic"].isin(0, 1))
-        .groupBy("doc_id")
+        .groupBy(labels["doc_id"].cast("long").alias("doc_id"))
         .agg(F.max("toxic").alias("toxic"))
     )
     chosen = [
         known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for label in (1, 0)
     ]
-    texts = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text <> ''")
     found = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most twice SAMPLE_ROWS ids
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return fit([r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic])
 
 
@@ -214,9 +217,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-
 def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs whose score is below one half, with all their columns; repeated rows stay or go together."""
+    """Rows of docs whose score is below one half, with all their columns; rows of equal text stay or go together.
+
+    Null, empty and letterless texts have the score of a text without a hit. An empty table stays empty.
+    """
     scorer = None
 
     def decide(texts: pd.Series) -> pd.Series:

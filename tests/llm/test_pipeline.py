@@ -47,7 +47,8 @@ def stages(spark, sf_dir):
     scorer = toxicity.Scorer(model.toxic, model.ordinary)
     keep({i for i in kept if toxicity.score(model, scorer.gains(texts[i])) < 0.5})
     model = languages.train(out[-1])
-    keep({i for i in kept if languages.mixture(model, texts[i])})
+    found = {i: languages.mixture(model, texts[i]) for i in kept}
+    keep({i for i, m in found.items() if m and m[0][1] >= languages.MIN_SHARE})
     keep(near_duplicates([(i, texts[i]) for i in sorted(kept)]))
     return out, texts
 

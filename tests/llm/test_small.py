@@ -287,6 +287,37 @@ def test_language_rows(spark):
     assert {r.doc_id for r in languages.keep_known(docs(spark, ODD), model).collect()} == {3, 4, 6}
 
 
+def test_language_fit_takes_long_texts_and_each_language(spark, monkeypatch):
+    monkeypatch.setattr(languages, "SAMPLE_ROWS", 3)
+    rows = [(i, "the cat sat on that mat and was there " * 2000, "en") for i in range(40)] + [(900 + i, "le chat est sur la table " * 500, "fr") for i in range(4)]
+    rows += [(i, "zzz", "en") for i in range(5)] * 3 + [(7, None, "xx"), (None, "der hund ist", "de")]
+    model = languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("en", "fr") and languages.mixture(model, "the cat was there and that cat sat")[0][0] == "en"
+    assert languages.train(spark.createDataFrame([], "doc_id long, text string, lang string")).languages == ()
+    monkeypatch.setattr(languages, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_language_filter_drops_texts_without_a_main_language(spark):
+    words = {k: [f"{k}{c}{d}" for c in "mnop" for d in "mnop"] for k in "abcde"}
+    model = languages.fit([(" ".join(w) * 5, k) for k, w in words.items()])
+    rows = [(1, " ".join(words["a"]) * 4), (2, " ".join(x for w in words.values() for x in w) * 4), (3, "12"), (4, None), (5, "")]
+    assert {r.doc_id for r in languages.keep_known(docs(spark, rows), model).collect()} == {1}
+    assert languages.keep_known(docs(spark, rows).where("false"), model).count() == 0
+
+
+def test_toxicity_fit_is_bounded_by_documents_and_takes_long_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 4)
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary: seen.update(toxic=toxic, ordinary=ordinary))
+    texts = [(i, "bad " * 30_000 + str(i)) for i in range(40)]
+    repeated = [(1, "bad")] * 50
+    labels = [(i, int(i < 20)) for i in range(40)] * 2 + [(1, 0), (None, 1), (2, None)]
+    toxicity.train(docs(spark, texts + repeated), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(seen["toxic"]) == len(seen["ordinary"]) == 4 and min(map(len, seen["ordinary"])) > 100_000
+
+
 # Fingerprints
 
 
