@@ -107,17 +107,61 @@ def test_short_notices_have_their_label(notice):
         assert labels - base == {SHORT[notice]} and 0 < score <= 1
 
 
-@pytest.mark.parametrize("label", licenses.TEMPLATES)
-def test_key_phrases_alone_give_the_label(label):
-    keys = " and ".join(licenses.TEMPLATES[label][1])
-    assert label in licenses.Index().scan(words_of(f"x {keys} y"))[4]
+@pytest.mark.parametrize("label, keys", sorted({(x[0], x[2]) for x in licenses.TEMPLATES}))
+def test_key_phrases_alone_give_the_label(label, keys):
+    assert label in licenses.Index().scan(words_of(f"x {' and '.join(keys)} y"))[4]
+
+
+def test_usual_file_notices_have_their_label():
+    index = licenses.Index()
+    notice = "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert index.scan(words_of(notice))[4] == {"gpl", "gpl-3.0"}
+    far = words_of("gnu general public license") + [b"x"] * 500 + words_of("version 3 of the license")
+    assert index.scan(far)[4] == {"gpl"}
+    for label, text, _ in licenses.TEMPLATES:
+        assert label in index.scan(words_of(text))[4] and index.scan(words_of(text))[5] == pytest.approx(1)
+
+
+def plain_labels(words):
+    """Labels and score of the wordings by looking at every place of the file."""
+    docs_of = [words_of(x[1]) for x in licenses.TEMPLATES] + [words_of(p) for p in licenses.BASE_PHRASES]
+    idf = {w: np.log((1 + len(docs_of)) / sum(w in d for d in docs_of)) for d in docs_of for w in d}
+    stands = lambda k: [i for i in range(len(words)) if words[i : i + len(k)] == k]
+    labels, best = set(), 0.0
+    for label, text, keys in licenses.TEMPLATES:
+        own = words_of(text)
+        at = [next(i for i in range(len(own)) if own[i : i + len(k)] == k) for k in map(words_of, keys)]
+        shifts = [[s - a for s in stands(words_of(k))] for k, a in zip(keys, at, strict=True)]
+        for d in shifts[0]:
+            if all(any(abs(e - d) <= len(own) for e in other) for other in shifts):
+                labels.add(label)
+                same = [w for i, w in enumerate(own) if 0 <= i + d < len(words) and words[i + d] == w]
+                best = max(best, sum(idf[w] for w in same) / sum(idf[w] for w in own))
+    return labels, min(1.0, best)
+
+
+def test_labels_are_those_of_a_plain_search():
+    index, r = licenses.Index(), random.Random(12)
+    stock = sorted({w for x in licenses.TEMPLATES for w in words_of(x[1])})
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(0, 6)):
+            own = words_of(r.choice(licenses.TEMPLATES)[1])
+            lo = r.randrange(len(own))
+            piece = own[lo // 2 : lo + 12]
+            if r.random() < 0.5:
+                piece[r.randrange(len(piece))] = r.choice(stock)
+            words += piece + [r.choice(stock) for _ in range(r.randint(0, 5))]
+        *_, base, labels, score = index.scan(words)
+        want, best = plain_labels(words)
+        assert labels - base == want - base and labels == want | base and score == pytest.approx(1.0 if base else best)
 
 
 def test_base_phrases_are_found_through_the_index():
     phrases = {**licenses.BASE_PHRASES, "zeta of zeta": "zeta", "a a": "aa"}
     index = licenses.Index(base=phrases)
-    posted = {t for at in index.postings.values() for t, _ in at}
-    assert {index.templates[t].label for t in posted if index.templates[t].base} == set(phrases.values())
+    opened = {t for at in index.opened.values() for t, _ in at}
+    assert {index.wordings[t].label for t in opened if index.wordings[t].base} == set(phrases.values())
     some = sorted({w for p in phrases for w in p.split()})
     r = random.Random(9)
     for n in (0, 1, 2, 3, 8, 60, 400):
