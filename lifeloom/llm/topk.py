@@ -23,12 +23,17 @@ from lifeloom.llm.common import Durable
 
 K = 5
 SCALE = 256
-#: Vectors of a block.
+#: Vectors of a block, at most.
 BLOCK = 4096
+#: Components of a block, at most, but for one vector that has more: wide vectors make small blocks.
+CELLS = 1 << 21
+#: Leading components that are rotated, at most; those beyond it count among the rest, so results are the same.
+TURNED = 1024
 #: Share of the squared length that the leading coordinates hold.
 LEADING = 0.6
 #: Products up to this are exact as float64; beyond it they are computed with Python's integers.
 EXACT = 2.0**52
+LEAST, MOST = -(2**63), 2**63 - 1
 
 _BLOCKS = "block long, ids binary, vectors binary, width int, longest double"
 
@@ -43,19 +48,28 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     )
 
 
-def _pack(block: int, ids: list, rows: list, width: int) -> dict:
+def _pack(block: int, ids: list, rows: list) -> dict:
+    """A block, as wide as its longest row."""
+    width = max(len(r) for r in rows)
     m = np.zeros((len(rows), width), np.int64)
     for i, r in enumerate(rows):
         m[i, : len(r)] = r
     longest = float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1)).max())
-    return {"block": block, "ids": np.array(ids, "<i8").tobytes(), "vectors": m.astype("<i8").tobytes(), "width": width, "longest": longest}
+    kind = "<i4" if np.abs(m, dtype=np.float64).max(initial=0) < 2**31 else "<i8"
+    return {"block": block, "ids": np.array(ids, "<i8").tobytes(), "vectors": m.astype(kind).tobytes(), "width": width, "longest": longest}
 
 
 def _unpack(r) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<i8").reshape(-1, r["width"])
+    ids = np.frombuffer(r["ids"], "<i8")
+    cells = len(ids) * r["width"]
+    return ids, np.frombuffer(r["vectors"], f"<i{len(r['vectors']) // cells}").reshape(-1, r["width"]).astype(np.int64)
 
 
-def blocks_of(rows: DataFrame, count: int, width: int, size: int = BLOCK) -> DataFrame:
+def _as_wide(m: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m
+
+
+def blocks_of(rows: DataFrame, count: int, size: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """Blocks of vectors by descending length: range-partitioned by length, sorted within, packed as arrays.
 
     Neighbouring partitions are put together where they are much smaller than a block.
@@ -67,39 +81,42 @@ def blocks_of(rows: DataFrame, count: int, width: int, size: int = BLOCK) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        block, ids, held = TaskContext.get().partitionId() << 32, [], []
+        block, ids, held, widest = TaskContext.get().partitionId() << 32, [], [], 0
         for b in batches:
             for i, v in zip(b["vec_id"].tolist(), b["v"], strict=True):
+                if ids and (len(ids) == size or (len(ids) + 1) * max(widest, len(v)) > cells):
+                    yield pd.DataFrame([_pack(block, ids, held)])
+                    block, ids, held, widest = block + 1, [], [], 0
                 ids.append(i)
                 held.append(v)
-                if len(ids) == size:
-                    yield pd.DataFrame([_pack(block, ids, held, width)])
-                    block, ids, held = block + 1, [], []
+                widest = max(widest, len(v))
         if ids:
-            yield pd.DataFrame([_pack(block, ids, held, width)])
+            yield pd.DataFrame([_pack(block, ids, held)])
 
     return sorted_.select("vec_id", "v").mapInPandas(run, _BLOCKS)
 
 
 def rotation(blocks: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """Right singular vectors of all vectors, and how many leading ones hold LEADING of the squared length.
+    """Right singular vectors of the leading `width` components, and how many of them hold LEADING of the squared length.
 
-    Each partition gives one width x width sum of products, which tree-adds to one; the vectors stay where they are.
+    Each partition gives one width x width sum of products, of which its upper half is added up; the vectors stay where
+    they are, and what comes to the driver is bounded by TURNED.
     """
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
         for b in batches:
             for r in b.to_dict("records"):
-                m = _unpack(r)[1].astype(np.float64)
+                m = _as_wide(_unpack(r)[1][:, :width].astype(np.float64), width)
                 total += m.T @ m
-        i, j = np.indices((width, width))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
+        i, j = np.triu_indices(width)
+        yield pd.DataFrame({"i": i, "j": j, "g": total[i, j]})
 
     cells = blocks.select("ids", "vectors", "width").mapInPandas(grams, "i int, j int, g double")
+    found = cells.groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
     gram = np.zeros((width, width))
-    for r in cells.groupBy("i", "j").agg(F.sum("g").alias("g")).collect():  # width * width cells at any size
-        gram[r.i, r.j] = r.g
+    gram[found["i"], found["j"]] = found["g"]
+    gram[found["j"], found["i"]] = found["g"]
     values, vectors = np.linalg.eigh(gram)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
     share = np.cumsum(values) / max(values.sum(), 1e-300)
@@ -107,24 +124,33 @@ def rotation(blocks: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer products of the rows of x with q."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < EXACT:
+    """Integer products of the rows of x with q; those beyond 64 bits are the least or the largest that 64 bits hold."""
+    if float(np.abs(q, dtype=np.float64).max(initial=0)) * float(np.abs(x, dtype=np.float64).max(initial=0)) * x.shape[1] < EXACT:
         return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x.tolist()], object)
+    own = q.tolist()
+    return np.array([min(MOST, max(LEAST, sum(a * b for a, b in zip(row, own, strict=True)))) for row in x.tolist()], np.int64)
+
+
+def _turned(m: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Rows with their leading components rotated and the others as they are: lengths and products stay the same."""
+    m = _as_wide(m.astype(np.float64), len(turn))
+    return np.hstack([m[:, : len(turn)] @ turn, m[:, len(turn) :]])
 
 
 def search(
     q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, x_ids: np.ndarray, x: np.ndarray, turn: np.ndarray, lead: int, k: int
 ) -> Iterator[tuple[int, int, int]]:
     """(query, vector, score) of the k best of a candidate block for each query that reach the query's floor."""
-    qr, xr = q.astype(np.float64) @ turn, x.astype(np.float64) @ turn
+    width = max(q.shape[1], x.shape[1])
+    q, x = _as_wide(q, width), _as_wide(x, width)
+    qr, xr = _turned(q, turn), _turned(x, turn)
     q_rest = np.sqrt((qr[:, lead:] ** 2).sum(axis=1))
     x_rest = np.sqrt((xr[:, lead:] ** 2).sum(axis=1))
     order = np.argsort(-((xr**2).sum(axis=1)), kind="stable")
     x_ids, x, xr, x_rest = x_ids[order], x[order], xr[order], x_rest[order]
     bound = qr[:, :lead] @ xr[:, :lead].T + np.outer(q_rest, x_rest)
     slack = 1e-9 * np.outer(np.sqrt((qr**2).sum(axis=1)), np.sqrt((xr**2).sum(axis=1))) + 1e-6
-    bound += slack
+    bound = np.maximum(bound + slack, float(LEAST))  # a score is never less, nor is a floor
     for i, own in enumerate(q_ids.tolist()):
         at = np.flatnonzero((bound[i] >= floor[i]) & (x_ids != own))
         if len(at) > 8 * k:  # the best bounds first: they raise the floor for the rest
@@ -132,10 +158,10 @@ def search(
             low = np.sort(_exact(q[i], x[first]))[-k]
             at = at[bound[i, at] >= float(low)]
         scores = _exact(q[i], x[at])
-        best = sorted(zip((-scores).tolist(), x_ids[at].tolist(), strict=True))[:k]
+        best = sorted(zip(scores.tolist(), x_ids[at].tolist(), strict=True), key=lambda p: (-p[0], p[1]))[:k]
         for s, v in best:
-            if -s >= floor[i]:
-                yield own, v, -s
+            if s >= floor[i]:
+                yield own, v, s
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
@@ -145,29 +171,29 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: i
     smaller vec_id; a query with fewer than k others gets all. Vectors null, empty or with null or non-finite
     components take no part; shorter vectors count as padded with zeros. Rows with the query's own id are no
     candidates for it; other repeated rows each are. Of repeated query ids the row with the least components counts.
-    Empty tables give no row. Other columns are ignored.
+    A component or score beyond 64 bits is the largest (or least) that 64 bits hold. Empty tables give no row. Other
+    columns are ignored.
     """
     rows = integer_vectors(vectors, scale)
     queries = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
     width, n, asking = rows.agg(F.max(F.size("v")), F.count(F.lit(1)), F.count(F.when(is_query(F.col("vec_id")), 1))).first()
-    width = width or 1
-    stored = Durable(blocks_of(rows, n, width, block)).df
-    asked = Durable(blocks_of(queries, asking, width, block)).df
-    turn, lead = rotation(stored, width)
+    stored = Durable(blocks_of(rows, n, block)).df
+    asked = Durable(blocks_of(queries, asking, block)).df
+    turn, lead = rotation(stored, min(width or 1, TURNED))
 
     def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.to_dict("records"):
                 q_ids, q = _unpack(r)
-                x_ids, x = _unpack({"ids": r["x_ids"], "vectors": r["x_vectors"], "width": r["width"]})
+                x_ids, x = _unpack({"ids": r["x_ids"], "vectors": r["x_vectors"], "width": r["x_width"]})
                 floors = r.get("floors")
                 floor = np.frombuffer(floors, "<f8") if floors else np.full(len(q_ids), -np.inf)
                 out += search(q_ids, q, floor, x_ids, x, turn, lead, k)
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     hit = "query_id long, vec_id long, score long"
-    head_rows = stored.orderBy("block").limit(1).select(F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors"))
+    head_rows = stored.orderBy("block").limit(1).select(F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors"), F.col("width").alias("x_width"))
     # One block, bounded by `block` vectors, meets every query block.
     first = asked.crossJoin(F.broadcast(head_rows)).mapInPandas(against, hit)
     floors = (
@@ -211,8 +237,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: i
     pairs = bounds.join(sides, sides["longest"] * (1 + 1e-9) + 1e-6 >= bounds["reach"]).select("q_block", F.col("block").alias("x_block"))
     met = (
         pairs.join(reach.withColumnRenamed("block", "q_block"), "q_block")
-        .join(stored.select(F.col("block").alias("x_block"), F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors")), "x_block")
-        .select("ids", "vectors", "width", "floors", "x_ids", "x_vectors")
+        .join(stored.select(F.col("block").alias("x_block"), F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors"), F.col("width").alias("x_width")), "x_block")
+        .select("ids", "vectors", "width", "floors", "x_ids", "x_vectors", "x_width")
     )
     found = first.unionByName(met.mapInPandas(against, hit))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -437,6 +437,24 @@ def test_top_k_against_brute_force(spark, block):
     assert got == sorted(want)
 
 
+def test_top_k_of_huge_and_ragged_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELLS", 3000)
+    monkeypatch.setattr(topk, "TURNED", 8)
+    r = np.random.default_rng(7)
+    data = [(i, [float(x) for x in r.normal(size=r.integers(1, 30))]) for i in range(80)] + [(90, [0.25] * 5000), (91, [-1.0] * 2000)]
+    data += [(100, [1e300, 1.0]), (101, [-1e300, 2.0]), (102, [1e15] * 3), (103, [2e15] * 3), (104, [-3e14] * 3)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df, lambda c: c % 10 == 0, block=16).collect())
+    hold = lambda v: min(2**63 - 1, max(-(2**63), v))
+    ints = {i: [hold(int(np.floor(256 * x))) for x in v] for i, v in data}
+    want = []
+    for q in (i for i in ints if i % 10 == 0):
+        best = sorted((-hold(sum(a * b for a, b in zip(ints[q], ints[c], strict=False))), c) for c in ints if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+    assert topk.top_k(df.where("false"), lambda c: c % 10 == 0).count() == 0
+
+
 # Chat
 
 
