@@ -6,7 +6,8 @@ batch. A character that no piece covers becomes its UTF-8 bytes (byte fallback).
 
 White space is written as the marker U+2581, with one put before the text, as the model's identity normaliser does.
 No piece has the marker after another character, so a best path can be cut before each run of markers, and equal words
-are encoded once a batch.
+are encoded once a batch. A long word, such as a text without spaces, is cut at each place that no piece of the model
+crosses in it; what stays long goes through a dynamic programme of its own over all places where pieces match, in blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ MODEL = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 #: Word bytes that are laid out at once in the dynamic programme.
 PLANE = 1_000_000
+#: Characters from which a word is cut further, and bytes from which a part is encoded by itself.
+LONG = 64
+#: Bytes of a long word whose matches are held at once.
+BLOCK = 1 << 18
 #: Encoded words that a task keeps at hand.
 KNOWN_WORDS = 200_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
@@ -139,8 +144,15 @@ class Unigram:
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         ids, sizes, scores, k = [], [], [], 0
         while k < len(order):
+            if len(words[order[k]]) > LONG:
+                path, score = self._alone(words[order[k]])
+                ids.append(path)
+                sizes.append(np.array([len(path)]))
+                scores.append(np.array([score]))
+                k += 1
+                continue
             n = 1
-            while k + n < len(order) and (n + 1) * (len(words[order[k + n]]) + 1) <= PLANE and n < 65536:
+            while k + n < len(order) and n < 65536 and (n + 1) * (size := len(words[order[k + n]]) + 1) <= PLANE and size <= LONG + 1:
                 n += 1
             for x, y in zip((ids, sizes, scores), self._viterbi([words[i] for i in order[k : k + n]]), strict=True):
                 x.append(y)
@@ -199,6 +211,82 @@ class Unigram:
                 ids[left[r] : left[r] + b - a] = self.byte_id[list(words[r][a:b])]
         return ids, size, best[lengths, np.arange(n)]
 
+    def _matches(self, text: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces that begin in text[lo:hi], by start and then by end."""
+        at = np.arange(lo, hi)
+        at = at[(text[lo:hi] & 0xC0) != 0x80]
+        states, found, j = np.zeros(len(at), np.int64), [], 0
+        while len(at):
+            inside = at + j < len(text)
+            at, states = at[inside], states[inside]
+            states = self.trie.step(states, text[at + j])
+            ok = states >= 0
+            at, states, j = at[ok], states[ok], j + 1
+            value = self.trie.value[states]
+            hit = value >= 0
+            found.append((at[hit], at[hit] + j, value[hit]))
+        start, end, piece = (np.concatenate([f[c] for f in found]) if found else np.empty(0, np.int64) for c in range(3))
+        order = np.lexsort((end, start))
+        return start[order], end[order], piece[order]
+
+    @staticmethod
+    def _steps(text: np.ndarray) -> np.ndarray:
+        """Bytes of the character that begins at each place."""
+        return np.where(text < 128, 1, np.where(text < 224, 2, np.where(text < 240, 3, 4)))
+
+    def parts(self, word: str) -> list[str]:
+        """The word cut wherever no piece crosses: best paths of the parts make up its best path."""
+        data = word.encode("utf-8", "replace")
+        text = np.frombuffer(data, np.uint8).astype(np.int64)
+        first = (text & 0xC0) != 0x80
+        reach = np.zeros(len(text), np.int64)
+        reach[first] = np.flatnonzero(first) + self._steps(text)[first]
+        for lo in range(0, len(text), BLOCK):
+            start, end, _ = self._matches(text, lo, min(len(text), lo + BLOCK))
+            np.maximum.at(reach, start, end)
+        far = np.maximum.accumulate(reach)
+        cuts = np.flatnonzero(first[1:] & (far[:-1] <= np.arange(1, len(text)))) + 1
+        places = [0, *cuts.tolist(), len(data)]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(places, places[1:], strict=False)]
+
+    def _alone(self, word: bytes) -> tuple[np.ndarray, float]:
+        """Ids and score of the best path of one long word."""
+        text = np.frombuffer(word, np.uint8).astype(np.int64)
+        n, room = len(text), max(self.longest, 4) + 1
+        piece, start = np.full(n + 1, -2, np.int32), np.zeros(n + 1, np.int64)
+        none = -float("inf")
+        best = [0.0] + [none] * room
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
+            begin, end, value = self._matches(text, lo, hi)
+            chars = np.arange(lo, hi)[(text[lo:hi] & 0xC0) != 0x80]
+            # The character by itself comes first, as a match without a piece.
+            begin = np.concatenate([chars, begin])
+            end = np.concatenate([np.minimum(n, chars + self._steps(text[chars])), end])
+            score = np.concatenate([np.full(len(chars), self.unknown_score), self.scores[value]])
+            value = np.concatenate([np.full(len(chars), -1), value])
+            order = np.argsort(begin, kind="stable")
+            begin, end, value, score = begin[order], end[order], value[order], score[order]
+            best = best[: room + 1] + [none] * (hi - lo)
+            chosen = [-1] * len(best)
+            for k, (i, j, more) in enumerate(zip((begin - lo).tolist(), (end - lo).tolist(), score.tolist(), strict=True)):
+                total = best[i] + more
+                if total > best[j]:
+                    best[j] = total
+                    chosen[j] = k
+            for_end = np.array(chosen)
+            at = np.flatnonzero(for_end >= 0)
+            kept = at[at + lo <= n]
+            piece[kept + lo], start[kept + lo] = value[for_end[kept]], begin[for_end[kept]]
+            score_at_end = best[n - lo] if hi == n else none
+            best = best[hi - lo :]
+        out, j = [], n
+        while j > 0:
+            i = int(start[j])
+            out.append([int(piece[j])] if piece[j] >= 0 else self.byte_id[list(word[i:j])].tolist())
+            j = i
+        return np.array([x for part in reversed(out) for x in part], np.int32), float(score_at_end)
+
     @staticmethod
     def _better(best, piece, start, rows, ends, score, value, i) -> None:
         """Keep the higher score; on equal scores the piece that starts first (is longer) stays."""
@@ -209,8 +297,11 @@ class Unigram:
         start[ends, rows] = i
 
     def segments(self, text: str | None) -> list[str]:
-        """The words of a text between which a best path can be cut."""
-        return self.split(MARK + text.replace(" ", MARK)) if text else []
+        """The words, and parts of long words, of a text between which a best path can be cut."""
+        words = self.split(MARK + text.replace(" ", MARK)) if text else []
+        if max(map(len, words), default=0) <= LONG:
+            return words
+        return [x for w in words for x in (self.parts(w) if len(w) > LONG else (w,))]
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}

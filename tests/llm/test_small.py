@@ -490,6 +490,35 @@ def test_viterbi_is_the_best_split(unigram):
         assert unigram.encode_words([word.encode()])[2][0] == pytest.approx(best[-1])
 
 
+def test_long_words_have_the_best_split(unigram, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 97)
+    r = random.Random(13)
+    scores = {p: s for p, s, k in zip(*pieces.load_pieces(__import__("public_tokenizers").path(pieces.MODEL)), strict=True) if k in (1, 4)}
+    letters = ["abcdeilnorst", "日本語中国大小人的一", "aé😀ñ", "a"]
+    for text in ["".join(r.choice(s) for _ in range(n)) for s in letters for n in (70, 400)]:
+        word = pieces.MARK + text
+        best = [0.0] + [-1e300] * len(word)
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + unigram.longest) + 1):
+                s = scores.get(word[i:j], unigram.unknown_score if j == i + 1 else -1e300)
+                best[j] = max(best[j], best[i] + s)
+        ids, score = unigram.encode_batch([text])[0]
+        assert score == pytest.approx(best[-1]) and unigram.decode(ids.tolist()) == text
+        assert unigram._alone(word.encode())[1] == pytest.approx(best[-1])
+
+
+def test_texts_without_spaces_take_time_in_proportion(unigram):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        for text in ("日本語の中国大小" * (n // 8), "a" * n, "abcdefghij0123456789" * (n // 20)):
+            start = time.perf_counter()
+            assert unigram.decode(unigram.encode(text)) == text
+            took.append(time.perf_counter() - start)
+    assert max(took) < 4
+
+
 def test_never_below_the_library(unigram):
     import public_tokenizers
     import sentencepiece
