@@ -2,7 +2,9 @@
 
 A signature is the chain of content words that follows an anchor, a common word such as an article; the fingerprint of
 a text is the set of its hashed signatures. Anchors stand everywhere in running text and hardly in page furniture, so
-the set describes the text and not its frame. Two sets can only reach a Jaccard likeness t if the smaller has at least
+the set describes the text and not its frame. Where there is no anchor, before the first one and more than GAP words
+after another, every word begins a chain, so texts that are short or in another language are described as well; the rule
+looks at the words nearby only, so a small edit never changes more than the signatures around it. Two sets can only reach a Jaccard likeness t if the smaller has at least
 t times the size of the larger, so the comparisons of similar_pairs() are partitioned by set size and pruned by it.
 """
 
@@ -24,8 +26,8 @@ ANCHORS = {
 }
 #: Content words of a chain.
 CHAIN = 2
-#: Texts with fewer signatures are described by all their chains, as if every word were an anchor.
-MIN_SIGNATURES = 4
+#: Content words after an anchor beyond which, as before the first one, each begins a chain.
+GAP = 24
 #: Likeness from which documents are similar.
 THRESHOLD = 0.8
 #: Room for rounding in the bounds that rule pairs out; the likeness itself is compared without it.
@@ -52,23 +54,24 @@ def with_signatures(df: DataFrame, columns: dict[str, str], chain: int = CHAIN)
     """df with, for each name: text column, the sorted distinct signature hashes of the text as array<int>.
 
     Empty for a text without words. The text becomes a line of content words with a mark for each anchor; a look-ahead
-    at every mark takes the next content words over further marks, so chains may overlap. Each step is a column of its
-    own, so that what is used twice is computed once.
+    at every mark takes the next content words over further marks, so chains may overlap. Chains that follow no anchor
+    don't reach over marks. Each step is a column of its own, so that what is used twice is computed once.
     """
     next_word = rf"[{_MARK} ]*+[^{_MARK} ]++"
     chains = rf"{_MARK}(?=({next_word}(?:{next_word}){{0,{chain - 1}}}))"
-    every = rf"(?<= )(?=([^ ]++(?: ++[^ ]++){{0,{chain - 1}}}))"
+    every = F.lit(rf"(?<= )(?=([^ ]++(?: ++[^ ]++){{0,{chain - 1}}}))")
+    long_runs = F.lit(rf"{_MARK}((?: ++[^{_MARK} ]++){{{GAP + 1},}}+)")
     kept = df.columns
     for name, text in columns.items():
         words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", "  "))
         df = df.withColumn(f"{name}_line", F.concat(F.lit(" "), words, F.lit(" ")))
     for name in columns:
-        marked = F.regexp_replace(f"{name}_line", f" {_pattern(_all_anchors())} ", f" {_MARK} ")
-        df = df.withColumn(f"{name}_found", F.regexp_extract_all(marked, F.lit(chains), F.lit(1)))
+        df = df.withColumn(f"{name}_marked", F.regexp_replace(f"{name}_line", f" {_pattern(_all_anchors())} ", f" {_MARK} "))
     for name in columns:
-        found = F.col(f"{name}_found")
-        rest = F.regexp_extract_all(f"{name}_line", F.lit(every), F.lit(1))
-        df = df.withColumn(f"{name}_chosen", F.when(F.size(found) >= MIN_SIGNATURES, found).otherwise(rest))
+        marked = F.col(f"{name}_marked")
+        head = F.regexp_extract_all(F.substring_index(marked, _MARK, 1), every, F.lit(1))
+        ends = F.transform(F.regexp_extract_all(marked, long_runs, F.lit(1)), lambda r: F.regexp_extract_all(F.regexp_replace(r, rf"^(?: ++[^ ]++){{{GAP}}}", ""), every, F.lit(1)))
+        df = df.withColumn(f"{name}_chosen", F.concat(F.regexp_extract_all(marked, F.lit(chains), F.lit(1)), head, F.flatten(ends)))
     hashed = [
         F.array_sort(
             F.array_distinct(

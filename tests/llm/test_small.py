@@ -1,5 +1,6 @@
 """Operators on small and odd inputs, against brute force; no tables of the test data."""
 
+import hashlib
 import random
 import zlib
 
@@ -370,15 +371,23 @@ def plain_signatures(text):
 
     words = re.sub(r"[^\w]|_", " ", (text or "").lower()).split()
     anchors = {a for x in spotsigs.ANCHORS.values() for a in x}
-    content = lambda i: [w for w in words[i:] if w not in anchors][:2]
-    found = [" ".join(content(i + 1)) for i, w in enumerate(words) if w in anchors and content(i + 1)]
-    return set(found if len(found) >= spotsigs.MIN_SIGNATURES else [" ".join(words[i : i + 2]) for i in range(len(words))])
+    out, since = set(), None
+    for i, w in enumerate(words):
+        if w in anchors:
+            since = 0
+            out.add(" ".join([x for x in words[i + 1 :] if x not in anchors][:2]))
+            continue
+        if since is None or since >= spotsigs.GAP:
+            out.add(" ".join([w, *(x for x in words[i + 1 : i + 2] if x not in anchors)]))
+        since = None if since is None else since + 1
+    return out - {""}
 
 
 def test_spotsigs_against_plain_python(spark):
     r = random.Random(5)
     some = ["the", "is", "and", "le", "cat", "dog", "mat", "sun", "sky", "run"]
     rows = [(i * 3, " ".join(r.choice(some) for _ in range(r.randint(0, 40)))) for i in range(12)] + [(50, None), (51, "")]
+    rows += [(60 + i, " ".join(r.choice(["the", *"bcdfg"]) if r.random() < 0.02 else f"w{r.randrange(30)}" for _ in range(r.choice([5, 30, 200])))) for i in range(12)]
     got = {x.doc_id: x for x in spotsigs.fingerprint_edits(docs(spark, rows)).collect()}
     order = sorted(rows)
     sets = {}
@@ -390,10 +399,20 @@ def test_spotsigs_against_plain_python(spark):
         a, b, c = plain_signatures(t), plain_signatures(edited), plain_signatures(after)
         near = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
         assert got[i].n_chars == len(t) and len(got[i].fingerprint) == 8 * len(a)
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert sets.setdefault(edited, got[i].edited_fingerprint) == got[i].edited_fingerprint and len(got[i].edited_fingerprint) == 8 * len(b)
         assert got[i].near_edited == pytest.approx(near(a, b)) and got[i].near_next == pytest.approx(near(a, c))
         assert sets.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
+def test_one_more_anchor_changes_few_signatures():
+    words = [f"w{i}" for i in range(60)]
+    text = plain_signatures(" ".join(words))
+    for i in (0, 5, 30, 59):
+        other = plain_signatures(" ".join([*words[:i], "the", *words[i:]]))
+        assert len(text ^ other) <= spotsigs.GAP + 4
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
 def test_similar_pairs_against_brute_force(spark, threshold):
     r = random.Random(8)
