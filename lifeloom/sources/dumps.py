@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lifeloom.operators.lifecycle import lifecycle_from_snapshots
 from lifeloom.schema import PAGE
+from lifeloom.session import cut_lineage
 
 RANKED = {"preferred": "wikibase:PreferredRank", "normal": "wikibase:NormalRank", "deprecated": "wikibase:DeprecatedRank"}
 
@@ -40,55 +41,58 @@ def value_term(value: dict) -> str:
     if kind == "string":
         return _literal(str(v))
     if isinstance(v, dict):
-        letter = {"item": "Q", "property": "P"}.get(v.get("entity-type"))
+        letter = {"item": "Q", "property": "P"}.get(str(v.get("entity-type")))
         number = v.get("numeric-id")
         if kind == "wikibase-entityid" and letter and isinstance(number, int):
             return f"wd:{letter}{number}"
         if kind == "monolingualtext":
-            return f"{_literal(v.get('text') or '')}@{v.get('language') or 'und'}"
+            return f"{_literal(str(v.get('text', '')))}@{str(v.get('language', '')) or 'und'}"
     return _literal(json.dumps(v, ensure_ascii=False, sort_keys=True))
 
 
-def _snak(snak: dict) -> str | None:
-    kind = snak.get("snaktype")
+def _snak(snak: dict) -> str:
+    """Term of a snak: one without a usable value, or of an unknown kind, is the empty literal."""
+    kind, value = snak.get("snaktype"), snak.get("datavalue")
     if kind in ("novalue", "somevalue"):
         return f"wikibase:{kind}"
-    value = snak.get("datavalue")
-    return value_term(value) if kind == "value" and isinstance(value, dict) else None
+    return value_term(value) if kind == "value" and isinstance(value, dict) else _literal("")
+
+
+def _text(x, default: str) -> str:
+    return x if isinstance(x, str) and x else default
+
+
+def _of_properties(x) -> list[tuple[str, list[dict]]]:
+    """(property, its objects) of a mapping from properties to lists; anything of another shape is passed over."""
+    found = x.items() if isinstance(x, dict) else ()
+    return [(p, [d for d in listed if isinstance(d, dict)]) for p, listed in found if p.startswith("P") and isinstance(listed, list)]
 
 
 def _claims(doc: dict, qid: str):
     """Statements, their qualifiers and ranks, and direct triples of an entity document."""
-    claims = doc.get("claims")
-    for pid, listed in claims.items() if isinstance(claims, dict) else ():
+    for pid, listed in _of_properties(doc.get("claims")):
         best: dict[str, set[str]] = {"preferred": set(), "normal": set()}
-        for x in listed if isinstance(listed, list) else ():
-            main = x.get("mainsnak") if isinstance(x, dict) else None
+        for x in listed:
+            main = x.get("mainsnak")
             if not isinstance(main, dict):
                 continue
-            prop = main.get("property") or pid
-            term = _snak(main)
-            name = x.get("id") or f"{qid}$NOID-{prop}-{main.get('hash') or ''}"
-            subject = "wds:" + name.replace("$", "-")
+            prop, term = main["property"] if isinstance(main.get("property"), str) else pid, _snak(main)
+            name = _text(x.get("id"), f"{qid}$NOID-{prop}-{main.get('hash', '')}")
+            subject, rank = "wds:" + name.replace("$", "-"), x["rank"] if isinstance(x.get("rank"), str) else "normal"
             yield f"wd:{qid}", f"p:{prop}", subject
-            if term is not None:
-                yield subject, f"ps:{prop}", term
-            rank = x.get("rank")
+            yield subject, f"ps:{prop}", term
             yield subject, "wikibase:rank", RANKED.get(rank, RANKED["normal"])
-            qualifiers = x.get("qualifiers")
-            for q, snaks in qualifiers.items() if isinstance(qualifiers, dict) else ():
-                for s in snaks if isinstance(snaks, list) else ():
-                    found = _snak(s) if isinstance(s, dict) else None
-                    if found is not None:
-                        yield subject, f"pq:{q}", found
-            if main.get("snaktype") == "value" and term is not None and rank in best:
+            for q, snaks in _of_properties(x.get("qualifiers")):
+                for snak in snaks:
+                    yield subject, f"pq:{q}", _snak(snak)
+            if main.get("snaktype") == "value" and rank in best:
                 best[rank].add(term)
         for term in best["preferred"] or best["normal"]:
             yield f"wd:{qid}", f"wdt:{pid}", term
 
 
 def triples_of(text: str | None) -> list[tuple[str, str, str]] | None:
-    """Distinct triples of a revision's text; none for a document without id, null for a text that can't be used.
+    """Distinct triples of a revision's text; none for a document without a text id, null for a text that can't be used.
 
     The text is unescaped once more than XML does. Labels and descriptions, statements, ranks, qualifiers and direct
     properties are read; a preferred statement with a value hides the normal ones from the direct properties.
@@ -100,26 +104,29 @@ def triples_of(text: str | None) -> list[tuple[str, str, str]] | None:
     if not isinstance(doc, dict):
         return None
     qid = doc.get("id")
-    if not qid:
+    if not _text(qid, ""):
         return []
     found = set(_claims(doc, qid))
     for field, prop in (("labels", "rdfs:label"), ("descriptions", "schema:description")):
         texts = doc.get(field)
         for lang, x in texts.items() if isinstance(texts, dict) else ():
-            if isinstance(x, dict) and x.get("value") is not None:
+            if isinstance(x, dict) and "value" in x:
                 found.add((f"wd:{qid}", prop, f"{_literal(str(x['value']))}@{lang or 'und'}"))
     return sorted(found)
 
 
 def usable(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable revisions, their triples): unreadable, empty or non-object texts are skipped as if they weren't there."""
+    """(usable revisions, their triples): unreadable, empty or non-object texts are skipped as if they weren't there.
+
+    Texts are parsed once: what they hold is written to the shared folder, and both tables are read from there.
+    """
     kind = "array<struct<s:string,p:string,o:string>>"
 
     @F.pandas_udf(kind)
     def parsed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if (x := triples_of(t)) is None else [dict(zip("spo", r, strict=True)) for r in x])
 
-    kept = revs.withColumn("triples", parsed("text")).where("triples is not null").drop("text")
+    kept = cut_lineage(revs.withColumn("triples", parsed("text")).drop("text").where("triples is not null"))
     return kept.drop("triples"), kept.select("page", "ord", F.explode("triples").alias("t")).select("page", "ord", "t.s", "t.p", "t.o")
 
 
