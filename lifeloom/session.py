@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,25 @@ def build_session(app: str = "lifeloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder that spark.checkpoint.dir names; a temporary one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a session in one process makes one of its own; a cluster has to name it.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root and (held := sc._jsc.sc().getCheckpointDir()).isDefined():
+        root = held.get()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lifeloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lifeloom-"))
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
