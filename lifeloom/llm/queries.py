@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +22,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_digest(pieces: DataFrame) -> DataFrame:
-    """Pieces with the CRC-32 of their ids in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
-            names = b.schema.names
-            yield pa.RecordBatch.from_arrays(
-                [crc if n == "ids" else b.column(n) for n in names],
-                names=["ids_crc32" if n == "ids" else n for n in names],
-            )
-
-    return pieces.mapInArrow(run, packing.SCHEMA.replace("ids binary", "ids_crc32 long"))
+    """Pieces with the CRC-32 of their ids in place of the ids, taken in the JVM so that a task has one Python worker."""
+    return pieces.select(*(F.crc32("ids").alias("ids_crc32") if c == "ids" else c for c in pieces.columns))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,27 +91,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text as a CRC-32, and whether they decode to it (U+2581 decodes to a space)."""
-    docs = table(spark, sf_dir, "documents")
-    coded = pieces.encode_documents(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, decoded = b.column("ids").to_pylist(), b.column("decoded").to_pylist()
-            columns = (
-                pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in decoded], pa.string()),
-                pa.array([len(x) for x in decoded], pa.int64()),
-            )
-            kept = ("doc_id", "n_ids", "n_byte_ids", "score")
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in kept), *columns], names=[*kept, "ids_crc32", "decoded_sha256", "decoded_chars"]
-            )
-
-    return coded.mapInArrow(
-        run,
-        "doc_id long, n_ids long, n_byte_ids long, score double, ids_crc32 long, decoded_sha256 string, "
-        "decoded_chars long",
-    )
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id", "n_ids", "n_byte_ids", "score",
+        F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), F.length("decoded").cast("long").alias("decoded_chars"),
+    )
 
 
 def queries() -> dict[str, Query]:
