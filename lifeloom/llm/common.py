@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 import weakref
 from collections.abc import Callable
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifeloom.session import shared_folder
+
 #: A-Z become a-z; every other ASCII character that is no digit or letter becomes a space.
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -30,19 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = sc._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="lifeloom-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 _written: list[tuple] = []
 
 
@@ -68,7 +56,7 @@ class Durable:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{shared_root(self.spark)}/lifeloom/{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/lifeloom/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         _written.append((weakref.ref(self.spark), self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeloom.llm.common import shared_root
+from lifeloom.session import shared_folder
 
 #: Payloads from this length on are stored once; records with the same payload revisit it.
 MIN_REVISIT = 1000
@@ -259,4 +259,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/lifeloom/warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lifeloom/warc-{uuid.uuid4().hex}"
