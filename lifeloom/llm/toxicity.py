@@ -33,10 +33,12 @@ WINDOW = 7
 DICT_BYTES = 8192
 #: Part of a dictionary that holds what sets its class apart.
 OWN_BYTES = 4096
-#: A word that trains it follows so many different words (also as a share of the texts) in its class, and so many times
-#: as many as in the other class.
+#: A word that trains it follows so many different words in its class, is in so large a share of its texts (one long text
+#: makes no mark), and follows so many times as many words as in the other class.
 MIN_AFTER = 3
-MIN_SHARE = 0.01
+#: Bytes of such a run, a blank at either end of the word included: stems with many endings are found by their runs.
+PIECE = 6
+MIN_SHARE = 0.03
 MIN_RATIO = 8.0
 #: Both dictionaries end with it and every window is compressed behind it, so that even a short window is stored
 #: compressed and its own cost shows byte by byte.
@@ -135,20 +137,29 @@ def _dictionary(windows: list[bytes], size: int) -> bytes:
         return b" ".join((b"", *windows, b""))[-size:]
 
 
+def pieces_of(word: bytes) -> set[bytes]:
+    """The runs of PIECE bytes in a word between blanks; a shorter word is one run."""
+    held = b" " + word + b" "
+    return {held[i : i + PIECE] for i in range(max(1, len(held) - PIECE + 1))}
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Half of each class trains the dictionaries, the other half calibrates threshold and weights."""
-    tox, low = (([t for t in x[0::2]], [t for t in x[1::2]]) for x in (toxic, ordinary))
+    """Three of four texts of each class train the dictionaries, the others calibrate threshold and weights."""
+    tox, low = (([t for i, t in enumerate(x) if i % 4 != 1], x[1::4]) for x in (toxic, ordinary))
     words = [[[w for x in windows_of(t) for w in x.split()] for t in side[0]] for side in (tox, low)]
-    # How many different words a word follows: copies of a text, exact or near, count once.
-    held_by = [Counter(w for _, w in {p for text in side for p in zip([b"", *text], text, strict=False)}) for side in words]
+    runs = {w: pieces_of(w) for side in words for text in side for w in text}
+    # How many different words a run follows: copies of a text, exact or near, count once.
+    held_by = [Counter(r for _, r in {(p, r) for text in side for p, w in zip([b"", *text], text, strict=False) for r in runs[w]}) for side in words]
+    texts_of = [Counter(r for text in side for r in {r for w in text for r in runs[w]}) for side in words]
     plain = _dictionary([w for text in words[1] for w in text], DICT_BYTES)
 
     def apart(mine: int) -> bytes:
-        # Nearly all words of a toxic text are ordinary: the own part is trained on words that recur in one class only.
+        # Nearly all words of a toxic text are ordinary: the own part is trained on words with runs that recur in one class only.
         own, other = held_by[mine], held_by[1 - mine]
         share = len(words[mine]) / max(1, len(words[1 - mine]))
-        marks = {w for w, n in own.items() if n >= max(MIN_AFTER, MIN_SHARE * len(words[mine])) and n >= MIN_RATIO * share * (other[w] + 0.5)}
-        return _dictionary([w for text in words[mine] for w in text if w in marks], OWN_BYTES)
+        many = max(MIN_AFTER, MIN_SHARE * len(words[mine]))
+        marks = {r for r, n in own.items() if min(n, texts_of[mine][r]) >= many and n >= MIN_RATIO * (share * other[r] + 0.5)}
+        return _dictionary([w for text in words[mine] for w in text if not marks.isdisjoint(runs[w])], OWN_BYTES)
 
     toxic_dict, plain_dict = plain + apart(0), plain + apart(1)
     scorer = Scorer(toxic_dict, plain_dict)
