@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lifeloom.session import cut_lineage
+
 #: Domination thresholds of an owned pair: edits of the property and of the user, share of the property, focus.
 OWNED = {"min_prop_edits": 20, "min_user_edits": 50, "min_share": 0.75, "min_focus": 0.05}
 
@@ -16,37 +18,78 @@ def user_property_counts(lifecycles: DataFrame) -> DataFrame:
     return rows.where("property <> ''").groupBy("user", "property").agg(F.count(F.lit(1)).alias("count"))
 
 
-def snapshot(counts: DataFrame, stage: str) -> DataFrame:
-    return counts.agg(
-        F.lit(stage).alias("stage"),
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("user").alias("users"),
-        F.countDistinct("property").alias("properties"),
-        F.coalesce(F.sum("count"), F.lit(0)).cast("double").alias("total_edits"),
-    )
+#: Stages of the funnel, in order.
+STAGES = ("raw", "after_ip_filter", "after_bot_filter", "after_min_property_users", "after_min_user_edits", "after_min_distinct_properties_per_user")
 
 
 def funnel(counts: DataFrame, flags: DataFrame | None, min_users: int = 5, min_edits: int = 3, min_properties: int = 2) -> tuple[DataFrame, DataFrame]:
     """(rows left, one snapshot for each stage): addresses, bots, rare properties, then users of few edits or properties.
 
-    Each filter is measured on the survivors of the one before it.
+    counts has one row for each (user, property). Each filter is measured on the survivors of the one before it: a row
+    carries the number of stages it passes, and users, properties and rows of a stage are those whose number, or
+    whose rows' largest number, reaches it. Snapshots: (stage, rows, users, properties, total_edits).
     """
-    stages = [("raw", counts)]
+    first = F.lit(2)
     if flags is not None:
-        for name, flag in (("after_ip_filter", "is_ip"), ("after_bot_filter", "is_bot")):
-            gone = flags.where(F.col(flag)).select("user")
-            stages.append((name, stages[-1][1].join(gone, "user", "left_anti")))
+        counts = counts.join(flags.select("user", "is_ip", "is_bot"), "user", "left")
+        first = F.when(F.coalesce("is_ip", F.lit(False)), 0).when(F.coalesce("is_bot", F.lit(False)), 1).otherwise(2)
+    rows = cut_lineage(counts.select("user", "property", "count", first.alias("passed")))
+    people = rows.where("passed = 2")
+    known = people.groupBy("property").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_users).select("property", F.lit(True).alias("known"))
+    kept = people.join(known, "property", "left_semi")
+    own = kept.groupBy("user").agg(F.sum("count").alias("edits"), F.count(F.lit(1)).alias("n"))
+    reach = own.select("user", F.when(F.col("edits") < min_edits, 3).when(F.col("n") < min_properties, 4).otherwise(5).alias("reach"))
+    # Only rows that pass two stages and whose property is known get on; their user says how far.
+    placed = rows.join(known, "property", "left").join(reach, "user", "left")
+    far = F.when((F.col("passed") == 2) & F.col("known"), F.col("reach")).otherwise(F.col("passed"))
+    placed = cut_lineage(placed.select("user", "property", "count", far.alias("passed")))
+    zero = F.lit(0).cast("long")
+
+    def of(key: str, name: str) -> DataFrame:
+        best = placed.groupBy(key).agg(F.max("passed").alias("passed")).groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
+        return best.select("passed", *(F.col("n").alias(c) if c == name else zero.alias(c) for c in ("users", "properties")), zero.alias("rows"), zero.alias("edits"))
+
+    sums = placed.groupBy("passed").agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("edits"))
+    found = of("user", "users").unionByName(of("property", "properties")).unionByName(sums.select("passed", zero.alias("users"), zero.alias("properties"), "rows", "edits"))
+    skipped = () if flags is not None else (1, 2)
+    listed = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("stage")) for i, n in enumerate(STAGES) if i not in skipped)))
+    at = found.withColumn("x", listed).select("x.*", *(F.when(F.col("passed") >= F.col("x.place"), F.col(c)).otherwise(0).alias(c) for c in ("users", "properties", "rows", "edits")))
+    log = at.groupBy("stage").agg(
+        F.sum("rows").alias("rows"), F.sum("users").alias("users"), F.sum("properties").alias("properties"), F.sum("edits").cast("double").alias("total_edits")
+    )
+    return placed.where("passed = 5").drop("passed"), log
 
-    def having(df: DataFrame, key: str, test: Column) -> DataFrame:
-        return df.join(df.groupBy(key).agg(test.alias("ok")).where("ok").select(key), key, "left_semi")
 
-    stages.append(("after_min_property_users", having(stages[-1][1], "property", F.countDistinct("user") >= min_users)))
-    stages.append(("after_min_user_edits", having(stages[-1][1], "user", F.sum("count") >= min_edits)))
-    stages.append(("after_min_distinct_properties_per_user", having(stages[-1][1], "user", F.countDistinct("property") >= min_properties)))
-    log = None
-    for name, df in stages:
-        log = snapshot(df, name) if log is None else log.unionByName(snapshot(df, name))
-    return stages[-1][1], log
+def removals(counts: DataFrame, flags: DataFrame, key: str = "user", amount: str = "count") -> tuple[DataFrame, DataFrame]:
+    """(rows of people, what went): addresses and bots taken out of counts, with statistics in one row.
+
+    (n_users, n_ip_users, n_bot_users, n_removed_users, n_removed_rows, removed_edits, removed_user_share,
+    removed_edit_share). A user that is both counts once among the removed. Rows without a user stay out of both.
+    """
+    met = counts.where(F.col(key).isNotNull()).join(flags.select(F.col("user").alias(key), "is_ip", "is_bot"), key, "left").fillna(False, ["is_ip", "is_bot"])
+    gone = F.col("is_ip") | F.col("is_bot")
+    users = met.groupBy(key).agg(
+        F.first("is_ip").alias("is_ip"), F.first("is_bot").alias("is_bot"), F.count(F.lit(1)).alias("rows"), F.sum(amount).alias("edits")
+    )
+    count = F.count(F.lit(1))
+    stats = users.agg(
+        count.alias("n_users"), F.count_if("is_ip").alias("n_ip_users"), F.count_if("is_bot").alias("n_bot_users"), F.count_if(gone).alias("n_removed_users"),
+        F.coalesce(F.sum(F.when(gone, F.col("rows"))), F.lit(0)).alias("n_removed_rows"), F.coalesce(F.sum(F.when(gone, F.col("edits"))), F.lit(0)).alias("removed_edits"),
+        (F.count_if(gone) / count).alias("removed_user_share"), (F.coalesce(F.sum(F.when(gone, F.col("edits"))), F.lit(0)) / F.sum("edits")).alias("removed_edit_share"),
+    )
+    return met.where(~gone).drop("is_ip", "is_bot"), stats
+
+
+def matrix_stats(counts: DataFrame) -> DataFrame:
+    """One row about the user x property matrix: users, properties, cells in use, density, medians and largest of both sides."""
+    by_user = counts.groupBy("user").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("edits"))
+    by_property = counts.groupBy("property").agg(F.count(F.lit(1)).alias("n"))
+    u = by_user.agg(
+        F.count(F.lit(1)).alias("n_users"), F.sum("n").alias("nnz"), F.sum("edits").alias("total_edits"), F.median("n").alias("median_properties_per_user"),
+        F.median("edits").alias("median_edits_per_user"), F.max("n").alias("max_properties_per_user"),
+    )
+    p = by_property.agg(F.count(F.lit(1)).alias("n_properties"), F.median("n").alias("median_users_per_property"), F.max("n").alias("max_users_per_property"))
+    return u.crossJoin(F.broadcast(p)).withColumn("density", F.col("nnz") / (F.col("n_users") * F.col("n_properties")))  # one row each
 
 
 def _users(by: str = "user") -> Window:
@@ -72,9 +115,8 @@ def top_per_user(scored: DataFrame, score: str, k: int = 5) -> DataFrame:
 def lift(counts: DataFrame) -> DataFrame:
     """(user, property, lift): share in the user's edits over share in all edits."""
     total = counts.agg(F.sum("count").alias("total"))
-    shares = counts.withColumns(
-        {"u": F.sum("count").over(_users()), "p": F.sum("count").over(_users("property"))}
-    ).crossJoin(F.broadcast(total))  # one row
+    users, properties = (counts.groupBy(k).agg(F.sum("count").alias(n)) for k, n in (("user", "u"), ("property", "p")))
+    shares = counts.join(users, "user").join(properties, "property").crossJoin(F.broadcast(total))  # one row
     return shares.select("user", "property", ((F.col("count") / F.col("u")) / (F.col("p") / F.col("total"))).alias("lift"))
 
 
@@ -92,48 +134,41 @@ def extreme_users(counts: DataFrame, max_entropy: float = 0.01, min_edits: int =
     return entropy(counts).withColumn("is_extreme", (F.col("entropy") < max_entropy) & (F.col("total") > min_edits))
 
 
-def domination(counts: DataFrame) -> DataFrame:
-    """Each (user, property) with its rank in the property, shares, gap to the second, concentration and score."""
-    in_property, in_user = _users("property"), _users()
-    order = in_property.orderBy(F.desc("count"), "user")
-    rows = counts.withColumns(
-        {
-            "prop_total_edits": F.sum("count").over(in_property),
-            "user_total_edits": F.sum("count").over(in_user),
-            "rank_in_property": F.row_number().over(order),
-            "n_users": F.count(F.lit(1)).over(in_property),
-        }
+def leaders(counts: DataFrame) -> DataFrame:
+    """The first user of each property: shares, gap to the second, concentration of the property and domination score.
+
+    Totals and concentration are grouped sums with a map-side part (entropy from sums of c log c), and of each
+    property's users only the first two go through the shuffle, so a property that everyone edits is no hot group.
+    """
+    c = F.col("count").cast("double")
+    properties = counts.groupBy("property").agg(
+        F.sum("count").alias("prop_total_edits"), F.count(F.lit(1)).alias("n_users"), F.sum(c * c).alias("squares"), F.sum(F.when(c > 0, c * F.log(c))).alias("logs")
     )
-    share = F.col("count") / F.col("prop_total_edits")
-    rows = rows.withColumns({"property_edit_share": share, "user_focus_share": F.col("count") / F.col("user_total_edits")})
-    hhi = F.sum(F.col("property_edit_share") * F.col("property_edit_share")).over(in_property)
-    raw = -F.sum(F.when(F.col("property_edit_share") > 0, F.col("property_edit_share") * F.log("property_edit_share"))).over(in_property)
-    rows = rows.withColumns(
-        {
-            "second_count": F.coalesce(F.max(F.when(F.col("rank_in_property") == 2, F.col("count"))).over(in_property), F.lit(0)),
-            "second_user": F.max(F.when(F.col("rank_in_property") == 2, F.col("user"))).over(in_property),
-            "property_hhi": hhi,
-            "property_entropy_norm": F.when(F.col("n_users") > 1, raw / F.log("n_users")).otherwise(0.0),
-        }
+    users = counts.groupBy("user").agg(F.sum("count").alias("user_total_edits"))
+    order = Window.partitionBy("property").orderBy(F.desc("count"), "user")
+    two = counts.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    at = lambda place, column: F.max(F.when(F.col("place") == place, F.col(column)))
+    first = two.groupBy("property").agg(
+        at(1, "user").alias("user"), at(1, "count").alias("count"), F.coalesce(at(2, "count"), F.lit(0)).alias("second_count"), at(2, "user").alias("second_user")
     )
-    return rows.withColumns(
+    rows = first.join(properties, "property").join(users, "user")
+    total = F.col("prop_total_edits")
+    uneven = F.when(F.col("n_users") > 1, (F.log(total) - F.col("logs") / total) / F.log("n_users")).otherwise(0.0)
+    rows = rows.withColumns(
         {
-            "second_property_share": F.col("second_count") / F.col("prop_total_edits"),
+            "rank_in_property": F.lit(1),
+            "property_edit_share": F.col("count") / total,
+            "user_focus_share": F.col("count") / F.col("user_total_edits"),
+            "property_hhi": F.col("squares") / (total * total),
+            "property_entropy_norm": uneven,
+            "second_property_share": F.col("second_count") / total,
             "count_ratio_vs_second": F.col("count") / F.nullif("second_count", F.lit(0)),
-            "share_gap": F.col("property_edit_share") - F.col("second_count") / F.col("prop_total_edits"),
             "solo_flag": F.col("n_users") == 1,
-            "property_purity_users": 1 - F.col("property_entropy_norm"),
-            "domination_score": F.col("property_edit_share")
-            * F.sqrt("user_focus_share")
-            * F.log1p("prop_total_edits")
-            * (0.5 + 1 - F.col("property_entropy_norm")),
         }
     )
-
-
-def leaders(counts: DataFrame) -> DataFrame:
-    """The first user of each property with the domination columns."""
-    return domination(counts).where("rank_in_property = 1")
+    score = F.col("property_edit_share") * F.sqrt("user_focus_share") * F.log1p("prop_total_edits") * (1.5 - F.col("property_entropy_norm"))
+    added = {"share_gap": F.col("property_edit_share") - F.col("second_property_share"), "property_purity_users": 1 - F.col("property_entropy_norm"), "domination_score": score}
+    return rows.withColumns(added).drop("squares", "logs")
 
 
 def owned_pairs(led: DataFrame, min_prop_edits: int = 20, min_user_edits: int = 50, min_share: float = 0.75, min_focus: float = 0.05) -> DataFrame:
@@ -294,7 +329,7 @@ def class_profile(counts: DataFrame) -> DataFrame:
 def global_shares(counts: DataFrame) -> DataFrame:
     """(class, global_edits, global_share)."""
     sums = counts.groupBy("class").agg(F.sum("edit_count").alias("global_edits"))
-    return sums.withColumn("global_share", F.col("global_edits") / F.sum("global_edits").over(Window.partitionBy()))
+    return sums.crossJoin(F.broadcast(counts.agg(F.sum("edit_count").alias("all")))).select("class", "global_edits", (F.col("global_edits") / F.col("all")).alias("global_share"))  # one row
 
 
 def smoothed_kl(counts: DataFrame, baseline: DataFrame, alpha: float = 0.5, min_edits: int = 50, min_classes: int = 2) -> DataFrame:
@@ -323,8 +358,8 @@ def smoothed_kl(counts: DataFrame, baseline: DataFrame, alpha: float = 0.5, min_
 
 def baseline_mixture(edits: DataFrame, instances: DataFrame, lam: float) -> DataFrame:
     """(class, mass): lam of the class's share of edits and the rest of its share of added instances."""
-    e = edits.select("class", (F.col("mass") / F.sum("mass").over(Window.partitionBy())).alias("e"))
-    i = instances.select("class", (F.col("mass") / F.sum("mass").over(Window.partitionBy())).alias("i"))
+    share = lambda df, n: df.crossJoin(F.broadcast(df.agg(F.sum("mass").alias("all")))).select("class", (F.col("mass") / F.col("all")).alias(n))  # noqa: E731 - one row
+    e, i = share(edits, "e"), share(instances, "i")
     zero = F.lit(0.0)
     return e.join(i, "class", "full").select("class", (lam * F.coalesce("e", zero) + (1 - lam) * F.coalesce("i", zero)).alias("mass"))
 

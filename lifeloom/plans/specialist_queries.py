@@ -13,6 +13,10 @@ from lifeloom.plans import projections as P
 from lifeloom.plans.catalogue import oracle_text, query
 
 
+#: Shares of edits in the mixed baselines.
+_LAMBDAS = (0.25, 0.5, 0.75)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded, so that sums in another order give the same text."""
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
@@ -22,8 +26,18 @@ def with_total(sql: str) -> str:
     return f"WITH {P.UPC}, {sql}"
 
 
-@query("user_property_counts", f'WITH {P.UPC} SELECT "user", property, n AS "count" FROM upc')
+@query(
+    "user_property_counts",
+    f"""WITH {P.GOV} SELECT "user", substr(p, 5) AS property, count(*) AS "count" FROM gov WHERE "user" IS NOT NULL AND "user" <> '' AND action <> 'rank' GROUP BY ALL""",
+)
 def user_property_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lifecycles, those that count as ranks under a property that is none of the direct ones."""
+    rows = P.governance_rows(spark, sf).select(F.col("user").alias("cuser"), F.when(F.col("action") == "rank", "wikibase:rank").otherwise(F.col("p")).alias("p"))
+    return S.user_property_counts(rows)
+
+
+@query("user_brand_counts", f'WITH {P.UPC} SELECT "user", property, n AS "count" FROM upc')
+def user_brand_counts(spark: SparkSession, sf: str) -> DataFrame:
     return P.user_properties(spark, sf)
 
 
@@ -48,9 +62,39 @@ _STAGES = ("raw", "after_ip_filter", "after_bot_filter", "after_min_property_use
 )
 def filter_funnel(spark: SparkSession, sf: str) -> DataFrame:
     counts = P.user_properties(spark, sf)
-    k = F.substring("user", 2, 20).cast("long") % 10
-    flags = counts.select("user").distinct().select("user", (k == 0).alias("is_ip"), (k == 1).alias("is_bot"))
-    return S.funnel(counts, flags, 5, 20, 12)[1]
+    return S.funnel(counts, _flags(spark, sf), 5, 20, 12)[1]
+
+
+def _flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth customer as an address, every tenth as a bot."""
+    c = P.table(spark, sf, "customer").select("c_custkey")
+    return c.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user"), (F.col("c_custkey") % 10 == 0).alias("is_ip"), (F.col("c_custkey") % 10 == 1).alias("is_bot"))
+
+
+@query("funnel_survivors", _FUNNEL + ' SELECT "user", property, n AS "count" FROM a5')
+def funnel_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    return S.funnel(P.user_properties(spark, sf), _flags(spark, sf), 5, 20, 12)[0]
+
+
+@query(
+    "removal_statistics",
+    _FUNNEL + """, us AS (SELECT "user", ip, bot, count(*) AS k, sum(n) AS e FROM upc JOIN fl USING ("user") GROUP BY ALL)
+    SELECT count(*) AS n_users, count(*) FILTER (ip) AS n_ip_users, count(*) FILTER (bot) AS n_bot_users, count(*) FILTER (ip OR bot) AS n_removed_users, CAST(sum(k) FILTER (ip OR bot) AS BIGINT) AS n_removed_rows,
+    CAST(sum(e) FILTER (ip OR bot) AS BIGINT) AS removed_edits, round(count(*) FILTER (ip OR bot) / count(*), 6) AS removed_user_share, round(sum(e) FILTER (ip OR bot) / sum(e), 6) AS removed_edit_share FROM us""",
+)
+def removal_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(S.removals(P.user_properties(spark, sf), _flags(spark, sf))[1])
+
+
+@query(
+    "matrix_stats",
+    with_total("""u AS (SELECT "user", count(*) AS k, sum(n) AS e FROM upc GROUP BY 1), p AS (SELECT property, count(*) AS k FROM upc GROUP BY 1)
+    SELECT n_users, nnz, total_edits, median_properties_per_user, median_edits_per_user, max_properties_per_user, n_properties, median_users_per_property, max_users_per_property, round(nnz / (n_users * n_properties), 6) AS density
+    FROM (SELECT count(*) AS n_users, CAST(sum(k) AS BIGINT) AS nnz, CAST(sum(e) AS BIGINT) AS total_edits, median(k) AS median_properties_per_user, median(e)::DOUBLE AS median_edits_per_user, max(k) AS max_properties_per_user FROM u),
+    (SELECT count(*) AS n_properties, median(k) AS median_users_per_property, max(k) AS max_users_per_property FROM p)"""),
+)
+def matrix_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(S.matrix_stats(P.user_properties(spark, sf)))
 
 
 _TFIDF = """d AS (SELECT property, ln((1 + (SELECT count(DISTINCT "user") FROM upc)) / (1 + count(DISTINCT "user"))) + 1 AS idf FROM upc GROUP BY property),
@@ -82,11 +126,10 @@ def lift_top5(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "user_entropy",
     with_total("""s AS (SELECT "user", n / sum(n) OVER (PARTITION BY "user") AS p, n FROM upc)
-    SELECT "user", CAST(sum(n) AS BIGINT) AS total, count(*) AS kinds, round(-sum(p * log2(p)), 6) + 0.0 AS entropy, round(-sum(p * log2(p)), 6) < 3.5 AND sum(n) > 30 AS is_extreme FROM s GROUP BY 1""").replace(", s AS", ", s AS"),
+    SELECT "user", CAST(sum(n) AS BIGINT) AS total, count(*) AS kinds, round(-sum(p * log2(p)), 6) + 0.0 AS entropy, round(-sum(p * log2(p)), 6) < 3.5 AND sum(n) > 30 AS is_extreme FROM s GROUP BY 1"""),
 )
 def user_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    e = rounded(S.entropy(P.user_properties(spark, sf)))
-    return e.withColumn("is_extreme", (F.col("entropy") < 3.5) & (F.col("total") > 30))
+    return rounded(S.extreme_users(P.user_properties(spark, sf), 3.5, 30))
 
 
 _DOM = """b AS (
@@ -290,21 +333,23 @@ def global_class_shares(spark: SparkSession, sf: str) -> DataFrame:
     k AS (SELECT count(*) AS k FROM (SELECT class FROM f UNION SELECT class FROM m)),
     t AS (SELECT "user", class, (n / total) * log2((n / total) / ((coalesce(mass, 0) + 0.5) / ((SELECT sum(mass) FROM m) + 0.5 * k.k))) AS term FROM f LEFT JOIN m USING (class), k),
     r AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(term, 9) DESC, class) AS place FROM t)
-    SELECT "user", round(sum(term), 6) AS kl_divergence_smoothed, round(max(term) FILTER (place = 1), 6) AS top_kl_term FROM r GROUP BY "user" """,
+    SELECT "user", round(sum(term), 6) AS kl_divergence_smoothed, max(class) FILTER (place = 1) AS top_class_by_kl_contribution, round(max(term) FILTER (place = 1), 6) AS top_kl_term FROM r GROUP BY "user" """,
 )
 def class_specialist_kl(spark: SparkSession, sf: str) -> DataFrame:
     base = P.table(spark, sf, "part").groupBy(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("class")).agg(F.count(F.lit(1)).alias("mass"))
-    return rounded(S.smoothed_kl(P.user_classes(spark, sf), base, 0.5, 30, 2).drop("top_class_by_kl_contribution"))
+    return rounded(S.smoothed_kl(P.user_classes(spark, sf), base, 0.5, 30, 2))
 
 
 @query(
     "class_intensity",
-    f"""WITH {P.UCL}, e AS (SELECT class, CAST(sum(n) AS BIGINT) AS global_edits FROM ucl GROUP BY class), m AS (SELECT 'c' || CAST(p_size AS VARCHAR) AS class, count(*) AS a, count(*) FILTER (p_partkey % 3 = 0) AS d FROM part WHERE p_size % 2 = 0 GROUP BY 1)
+    f"""WITH {P.UCL}, e AS (SELECT class, CAST(sum(n) AS BIGINT) AS global_edits FROM ucl GROUP BY class), m AS (SELECT 'c' || CAST(p_size AS VARCHAR) AS class, count(*) AS a, count(*) FILTER (p_partkey % 3 = 0) AS d FROM part GROUP BY 1 UNION ALL SELECT 's' || CAST(s_nationkey AS VARCHAR), count(*), 0 FROM supplier GROUP BY 1)
     SELECT class, coalesce(global_edits, 0) AS global_edits, coalesce(a, 0) AS n_total_instances_added, coalesce(d, 0) AS n_instances_deleted, round(coalesce(global_edits, 0) / nullif(coalesce(a, 0), 0), 6) AS edits_per_added, round(coalesce(d, 0) / nullif(coalesce(a, 0), 0), 6) AS delete_rate FROM e FULL JOIN m USING (class)""",
 )
 def class_intensity(spark: SparkSession, sf: str) -> DataFrame:
-    adds = P.table(spark, sf, "part").where("p_size % 2 = 0").groupBy(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("class"))
-    adds = adds.agg(F.count(F.lit(1)).alias("n_total_instances_added"), F.count_if(F.col("p_partkey") % 3 == 0).alias("n_instances_deleted"))
+    """Classes of parts and, without edits, those of suppliers."""
+    parts = P.table(spark, sf, "part").select(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("class"), (F.col("p_partkey") % 3 == 0).alias("gone"))
+    rows = parts.union(P.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")), F.lit(False)))
+    adds = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n_total_instances_added"), F.count_if("gone").alias("n_instances_deleted"))
     edits = P.user_classes(spark, sf).groupBy("class").agg(F.sum("edit_count").alias("global_edits"))
     return rounded(S.class_intensity(edits, adds))
 
@@ -312,12 +357,13 @@ def class_intensity(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "baseline_mixture",
     f"""WITH {P.UCL}, e AS (SELECT class, sum(n) / (SELECT sum(n) FROM ucl) AS e FROM ucl GROUP BY class), i AS (SELECT 'c' || CAST(p_size AS VARCHAR) AS class, count(*) / (SELECT count(*) FROM part) AS i FROM part GROUP BY 1)
-    SELECT class, round(0.25 * coalesce(e, 0) + 0.75 * coalesce(i, 0), 9) AS mass FROM e FULL JOIN i USING (class)""",
+    SELECT lam, class, round(lam * coalesce(e, 0) + (1 - lam) * coalesce(i, 0), 9) AS mass FROM e FULL JOIN i USING (class), (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS l(lam)""",
 )
 def baseline_mixture(spark: SparkSession, sf: str) -> DataFrame:
     edits = P.user_classes(spark, sf).groupBy("class").agg(F.sum("edit_count").alias("mass"))
     parts = P.table(spark, sf, "part").groupBy(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("class")).agg(F.count(F.lit(1)).alias("mass"))
-    return rounded(S.baseline_mixture(edits, parts, 0.25), 9)
+    made = [S.baseline_mixture(edits, parts, v).select(F.lit(v).alias("lam"), "class", "mass") for v in _LAMBDAS]
+    return rounded(made[0].union(made[1]).union(made[2]), 9)
 
 
 @query(
@@ -384,7 +430,6 @@ def threshold_gap_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gaps.join(row, "min_share"))
 
 
-_LAMBDAS = (0.25, 0.5, 0.75)
 _KL = f"""{P.UCL}, e AS (SELECT class, CAST(sum(n) AS DOUBLE) AS m FROM ucl GROUP BY 1), i AS (SELECT 'c' || CAST(p_size AS VARCHAR) AS class, CAST(count(*) AS DOUBLE) AS m FROM part GROUP BY 1),
 x AS (SELECT class, coalesce(e.m, 0) / (SELECT sum(m) FROM e) AS e, coalesce(i.m, 0) / (SELECT sum(m) FROM i) AS i FROM e FULL JOIN i USING (class)),
 bl AS (SELECT 'edits' AS baseline, class, m AS mass FROM e UNION ALL SELECT 'instances', class, m FROM i {' '.join(f"UNION ALL SELECT 'mixture_{v}', class, {v} * e + {1 - v} * i FROM x" for v in _LAMBDAS)}),
