@@ -20,42 +20,42 @@ def class_edit_counts(edits: DataFrame, membership: DataFrame) -> DataFrame:
     return met.groupBy("class", "user", "cdate", "ddate").agg(F.count(F.lit(1)).alias("count"))
 
 
+def open_intervals(membership: DataFrame, deletions: DataFrame) -> DataFrame:
+    """(item, class, cdate, ord, ddate) of the times in which an item has a class, from assertions and deletions.
+
+    membership: (item, class, t, ord). deletions: (item, class, t). Read in order of (t, ord), an assertion opens the
+    class, unless it is open, until its first unused deletion at or after it. One item's rows about one class are held
+    at once.
+    """
+
+    def read(asserted: pd.DataFrame, deleted: pd.DataFrame) -> pd.DataFrame:
+        ends = iter(sorted(deleted["t"]))
+        out, end = [], pd.Timestamp.min
+        rows = asserted.sort_values(["t", "ord"])
+        for item, kind, t, place in zip(rows["item"], rows["class"], rows["t"], rows["ord"], strict=True):
+            if end is not None and t >= end:
+                end = next((e for e in ends if e >= t), None)
+                out.append((item, kind, t, place, end))
+        return pd.DataFrame(out, columns=["item", "class", "cdate", "ord", "ddate"])
+
+    own = membership.select("item", "class", "t", "ord")
+    item = dict(own.dtypes)["item"]
+    groups = own.groupBy("item", "class").cogroup(deletions.select("item", "class", "t").groupBy("item", "class"))
+    return groups.applyInPandas(read, f"item {item}, class string, cdate timestamp_ntz, ord long, ddate timestamp_ntz")
+
+
 def class_edit_counts_by_scan(edits: DataFrame, membership: DataFrame, deletions: DataFrame) -> DataFrame:
-    """(user, class, edit_count) by reading each item's rows in order.
+    """(user, class, edit_count) as of reading each item's rows in order.
 
-    edits and membership: (item, t, ord, user[, class]); an item's rows are read by (t, ord), and a class is open from
-    the row that asserts it until the first unused deletion of that class at or after it. A row counts for the classes
-    open before it, so that of rows at the same time only those read later see a class. An assertion of a class that
-    is open opens nothing. One item's rows are held at once.
+    edits and membership: (item, t, ord, user[, class]). A row counts for each class that open_intervals() has open when
+    it is read: opened by a row before it in (t, ord), and not ended at its time. Rows meet intervals through an equality
+    join on the item, which may be split where an item is hot.
     """
-    rows = edits.select("item", "t", "ord", "user", F.lit(None).cast("string").alias("class")).unionByName(
-        membership.select("item", "t", "ord", "user", "class")
-    )
-    ends = deletions.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("class", "t"))).alias("ends"))
-    joined = rows.join(ends, "item", "left")
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "ord"], kind="stable")
-        waiting: dict[str, list] = {}
-        first = frame["ends"].iloc[0]
-        for e in [] if first is None else first:
-            waiting.setdefault(e["class"], []).append(pd.Timestamp(e["t"]))
-        open_: dict[str, object] = {}
-        counts: dict[tuple, int] = {}
-        for t, user, cls in zip(frame["t"], frame["user"], frame["class"], strict=True):
-            for c, end in list(open_.items()):
-                if end is not None and t >= end:
-                    del open_[c]
-                else:
-                    counts[user, c] = counts.get((user, c), 0) + 1
-            if cls is not None and cls not in open_:
-                while waiting.get(cls) and waiting[cls][0] < t:
-                    waiting[cls].pop(0)
-                open_[cls] = waiting[cls].pop(0) if waiting.get(cls) else None
-        return pd.DataFrame([(u, c, n) for (u, c), n in counts.items()], columns=["user", "class", "edit_count"])
-
-    per_item = joined.groupBy("item").applyInPandas(scan, "user string, class string, edit_count long")
-    return merge_counts(per_item)
+    rows = edits.select("item", "t", "ord", "user").unionByName(membership.select("item", "t", "ord", "user"))
+    times = open_intervals(membership, deletions).withColumnRenamed("ord", "opened")
+    after = (F.col("t") > F.col("cdate")) | ((F.col("t") == F.col("cdate")) & (F.col("ord") > F.col("opened")))
+    met = rows.join(times, "item").where(after & (F.col("ddate").isNull() | (F.col("t") < F.col("ddate"))))
+    return merge_counts(met.groupBy("user", "class").agg(F.count(F.lit(1)).alias("edit_count")))
 
 
 def merge_counts(counts: DataFrame) -> DataFrame:

@@ -24,67 +24,78 @@ GOOD = {
 }
 
 
-def _prepared(corrections: DataFrame, entries: DataFrame, as_of: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with prop and interval, entries, exceptions), open ends at the far instant or at as_of."""
+#: A correction is judged once at each level: against all entries of its property, and against those of its own constraint.
+LEVELS = ("property", "constraint")
+ROW = ["row_id", "level"]
+
+
+def _prepared(corrections: DataFrame, entries: DataFrame, as_of: str | None) -> tuple[DataFrame, DataFrame]:
+    """(rows at both levels with prop and interval, entries and exceptions), open ends at the far instant or at as_of."""
     end = F.lit(as_of).cast("timestamp_ntz") if as_of else far()
     rows = corrections.select(
-        "row_id", "constraint_id", F.trim("s").alias("s"), F.trim("o").alias("o"), "match_status", wdt_to_wd(F.col("p")).alias("prop"), F.trim("p").alias("p"),
-        F.col("cdate").cast("timestamp_ntz").alias("a"), F.coalesce(F.col("ddate").cast("timestamp_ntz"), end).alias("b"),
+        "row_id", F.explode(F.array(*map(F.lit, LEVELS))).alias("level"), "constraint_id", F.trim("s").alias("s"), F.trim("o").alias("o"), "match_status",
+        wdt_to_wd(F.col("p")).alias("prop"), F.trim("p").alias("p"), F.col("cdate").cast("timestamp_ntz").alias("a"), F.coalesce(F.col("ddate").cast("timestamp_ntz"), end).alias("b"),
     )
     e = entries.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.coalesce(F.col("end").cast("timestamp_ntz"), end)})
-    kept = e.where("start is not null and start < end").withColumnRenamed("constraint_id", "cid")
-    return rows, kept.where("role = 'entry'"), kept.where("role = 'exception'")
+    return rows, e.where("start is not null and start < end").withColumnRenamed("constraint_id", "cid")
 
 
-def _at_level(level: str) -> Column:
-    return F.lit(True) if level == "property" else F.col("cid") == F.col("constraint_id")
+def _at_level() -> Column:
+    return (F.col("level") == "property") | (F.col("cid") == F.col("constraint_id"))
 
 
-def _presence(rows: DataFrame, entries: DataFrame, level: str) -> DataFrame:
-    """(row_id, known_prop, has_entry): is there a constraint on the property, and one at this level?"""
-    props = entries.select("prop").distinct().withColumn("known_prop", F.lit(True))
-    keys = entries.select("prop", "cid").distinct()
-    own = rows.select("row_id", "prop", "constraint_id").join(keys, "prop").where(_at_level(level)).select("row_id").distinct()
-    return rows.select("row_id", "prop").join(props, "prop", "left").join(own.withColumn("has_entry", F.lit(True)), "row_id", "left").drop("prop")
+def _with_presence(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """rows with known_prop and has_entry: is there a constraint on the property, and an entry at this level?"""
+    entry = listed.where("role = 'entry'")
+    props = listed.groupBy("prop").agg(F.bool_or(F.col("role") == "entry").alias("any_entry")).withColumn("known_prop", F.lit(True))
+    own = entry.select("prop", F.col("cid").alias("constraint_id"), F.lit(True).alias("own_entry")).distinct()
+    met = rows.join(props, "prop", "left").join(own, ["prop", "constraint_id"], "left")
+    has = F.when(F.col("level") == "property", F.col("any_entry")).otherwise(F.col("own_entry"))
+    return met.withColumn("has_entry", F.coalesce(has, F.lit(False))).drop("any_entry", "own_entry")
 
 
-def _cut(rows: DataFrame, entries: DataFrame, level: str) -> DataFrame:
-    """Entries' intervals within the row's own time, one row each with an entry number: where they meet."""
-    met = rows.join(entries, "prop").where(_at_level(level))
+def _cut(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries' intervals within the row's own time, one row each: where they meet."""
+    met = rows.join(entries, "prop").where(_at_level())
     start, end = F.greatest("a", "start"), F.least("b", "end")
     return met.withColumns({"start": start, "end": end}).where("start < end")
 
 
-def _remaining(rows: DataFrame, entries: DataFrame, exceptions: DataFrame, level: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(all cut intervals, those left after the subject's exceptions), by row and the entry's keys."""
-    cut = _cut(rows, entries, level)
-    own = _cut(rows, exceptions.where("entity is not null"), level).where(F.col("entity") == F.col("s")).select("row_id", "start", "end")
-    group = ["row_id", *keys]
+def _exempt(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """(row_id, level, start, end) in which the row's subject is excepted."""
+    own = exceptions.where("entity is not null").withColumnRenamed("entity", "s")
+    met = rows.select(*ROW, "prop", "s", "constraint_id", "a", "b").join(own, ["prop", "s"]).where(_at_level())
+    start, end = F.greatest("a", "start"), F.least("b", "end")
+    return met.select(*ROW, start.alias("start"), end.alias("end")).where("start < end")
+
+
+def _remaining(cut: DataFrame, exempt: DataFrame, keys: list[str]) -> DataFrame:
+    """What the subject's exceptions leave of the cut intervals, by row and the entry's keys."""
+    group = [*ROW, *keys]
     # A null value is a key like any other for the subtraction.
     filled = cut.fillna("\u0000", keys)
-    taken = filled.select(*group).distinct().join(own, "row_id").select(*group, "start", "end")
+    taken = filled.select(*group).distinct().join(exempt, ROW).select(*group, "start", "end")
     left = subtract(filled.select(*group, "start", "end"), taken, group)
     left = left.withColumn("end", F.coalesce("end", far()))
-    return cut, left.replace("\u0000", None, keys)
+    return left.replace("\u0000", None, keys)
 
 
-def _status(rows: DataFrame, present: DataFrame, cut: DataFrame, left: DataFrame, broken: DataFrame, good: str) -> DataFrame:
-    some = cut.select("row_id").distinct().withColumn("cut", F.lit(True))
-    rest = left.select("row_id").distinct().withColumn("rest", F.lit(True))
-    bad = broken.select("row_id").distinct().withColumn("bad", F.lit(True))
-    met = rows.join(present, "row_id", "left").join(some, "row_id", "left").join(rest, "row_id", "left").join(bad, "row_id", "left")
+def _status(rows: DataFrame, cut: DataFrame, left: DataFrame, broken: DataFrame, good: str) -> DataFrame:
+    """Status of rows with presence; what a row meets, keeps and breaks is gathered in one grouping."""
+    marks = [df.select(*ROW, *(F.lit(i == j).alias(n) for j, n in enumerate(("cut", "rest", "bad")))) for i, df in enumerate((cut, left, broken))]
+    seen = marks[0].union(marks[1]).union(marks[2]).groupBy(*ROW).agg(*(F.bool_or(n).alias(n) for n in ("cut", "rest", "bad")))
     status = (
         F.when(~F.col("match_status").eqNullSafe("found"), "no_historical_row")
         .when(F.col("prop").isNull(), "non_wdt_property")
         .when(F.col("known_prop").isNull(), "no_constraint_for_property")
         .when(F.col("a").isNull() | (F.col("a") >= F.col("b")), "invalid_dates")
-        .when(F.col("has_entry").isNull(), "no_constraint_for_property_instance")
-        .when(F.col("cut").isNull(), "no_constraint_lifecycle_intersection")
-        .when(F.col("rest").isNull(), "not_violation_exception")
-        .when(F.col("bad").isNotNull(), "historical_violation")
+        .when(~F.col("has_entry"), "no_constraint_for_property_instance")
+        .when(F.col("cut").isNull() | ~F.col("cut"), "no_constraint_lifecycle_intersection")
+        .when(~F.col("rest"), "not_violation_exception")
+        .when(F.col("bad"), "historical_violation")
         .otherwise(good)
     )
-    return met.select("row_id", status.alias("status"))
+    return rows.join(seen, ROW, "left").select(*ROW, status.alias("status"))
 
 
 def _witnesses(lifecycles: DataFrame) -> DataFrame:
@@ -92,56 +103,54 @@ def _witnesses(lifecycles: DataFrame) -> DataFrame:
     return lifecycles.select(F.col("s").alias("w_s"), F.col("p").alias("w_p"), F.col("o").alias("w_o"), start.alias("w_start"), end.alias("w_end")).where("w_start < w_end")
 
 
-def _one_of(rows: DataFrame, entries: DataFrame, exceptions: DataFrame, level: str, forbidden: bool) -> DataFrame:
-    cut = _cut(rows, entries, level).select("row_id", "s", "o", "entity", "start", "end")
-    own = _cut(rows, exceptions, level).where(F.col("entity") == F.col("s")).select("row_id", "start", "end")
-    both = cut.select("row_id", "start", "end").withColumn("x", F.lit(0)).unionByName(own.withColumn("x", F.lit(1)))
-    points = both.select("row_id", F.col("start").alias("t")).union(both.select("row_id", F.col("end").alias("t"))).distinct()
-    segment = points.withColumn("t2", F.lead("t").over(Window.partitionBy("row_id").orderBy("t"))).where("t2 is not null")
-    inside = (F.col("start") <= F.col("t")) & (F.col("t2") <= F.col("end"))
-    held = segment.join(cut, "row_id").where(inside).groupBy("row_id", "t", "o").agg(F.bool_or(F.col("entity").eqNullSafe(F.col("o"))).alias("listed"))
-    freed = segment.join(own, "row_id").where(inside).select("row_id", "t").distinct().withColumn("freed", F.lit(True))
-    seen = held.join(freed, ["row_id", "t"], "left").groupBy("row_id").agg(
-        F.bool_or(F.col("freed").isNull() & (F.col("listed") if forbidden else ~F.col("listed"))).alias("bad"),
-        F.bool_or(F.col("freed").isNotNull()).alias("excepted"),
-    )
-    met = rows.join(_presence(rows, entries.unionByName(exceptions), level).drop("has_entry"), "row_id", "left")
-    met = met.join(_presence(rows, entries, level).drop("known_prop"), "row_id", "left").join(seen, "row_id", "left")
+def _one_of(rows: DataFrame, listed: DataFrame, forbidden: bool) -> DataFrame:
+    """One sweep over a row's event points: how many entries are open at each, how many of them list the object, and how
+    many exceptions are open."""
+    entries, exceptions = listed.where("role = 'entry'"), listed.where("role = 'exception'")
+    cut = _cut(rows, entries).select(*ROW, "start", "end", F.lit(1).alias("held"), F.col("entity").eqNullSafe(F.col("o")).cast("int").alias("listed"), F.lit(0).alias("freed"))
+    own = _exempt(rows, exceptions).select(*ROW, "start", "end", F.lit(0).alias("held"), F.lit(0).alias("listed"), F.lit(1).alias("freed"))
+    names = ("held", "listed", "freed")
+    both = cut.unionByName(own)
+    steps = both.select(*ROW, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))).alias("x"), *names)
+    steps = steps.groupBy(*ROW, F.col("x.t").alias("t")).agg(*(F.sum(F.col(n) * F.col("x.d")).alias(n) for n in names))
+    running = Window.partitionBy(*ROW).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    segments = steps.select(*ROW, *(F.sum(n).over(running).alias(n) for n in names)).where("held > 0")
+    wrong = F.col("listed") > 0 if forbidden else F.col("listed") == 0
+    seen = segments.groupBy(*ROW).agg(F.bool_or((F.col("freed") == 0) & wrong).alias("bad"), F.bool_or(F.col("freed") > 0).alias("excepted"))
     status = (
         F.when(~F.col("match_status").eqNullSafe("found"), "no_historical_row")
         .when(F.col("prop").isNull(), "non_wdt_property")
         .when(F.col("a").isNull(), "invalid_dates")
         .when(F.col("known_prop").isNull(), "no_constraint_for_property")
-        .when(F.col("has_entry").isNull(), "no_constraint_for_property_instance")
+        .when(~F.col("has_entry"), "no_constraint_for_property_instance")
         .when(F.col("bad").isNull(), "no_constraint_lifecycle_intersection")
         .when(F.col("bad"), "historical_violation")
         .when(F.col("excepted"), "not_violation_exception")
         .otherwise("not_violation_object_allowed")
     )
-    return met.select("row_id", status.alias("status"))
+    return _with_presence(rows, listed).join(seen, ROW, "left").select(*ROW, status.alias("status"))
 
 
-def _broken(kind: str, rows: DataFrame, left: DataFrame, lifecycles: DataFrame, strict_any_value: bool) -> DataFrame:
-    """row_ids of rows whose remaining intervals are contradicted, or not covered where they have to be."""
+def _broken(kind: str, left: DataFrame, lifecycles: DataFrame, strict_any_value: bool) -> DataFrame:
+    """Rows whose remaining intervals, with the row's s, p and o, are contradicted, or not covered where they have to be."""
     w = _witnesses(lifecycles)
-    own = left.join(rows.select("row_id", "s", "p", "o"), "row_id")
     if kind == "conflicts_with":
         prop, value = wd_to_wdt(F.col("pq2306")), F.col("w_o") == F.col("pq2305")
         value = value | F.col("pq2305").isNull() if strict_any_value else value
-        met = own.join(w, (F.col("s") == F.col("w_s")) & (prop == F.col("w_p")) & value & (F.greatest("start", "w_start") < F.least("end", "w_end")))
-        return met.select("row_id")
+        met = left.join(w, (F.col("s") == F.col("w_s")) & (prop == F.col("w_p")) & value & (F.greatest("start", "w_start") < F.least("end", "w_end")))
+        return met.select(*ROW)
     if kind in ("inverse", "symmetric"):
         prop = wd_to_wdt(F.col("pq2306")) if kind == "inverse" else F.col("p")
-        group = ["row_id", "need"]
-        need = own.withColumn("need", prop).where("need is not null")
+        group = [*ROW, "need"]
+        need = left.withColumn("need", prop).where("need is not null")
         reverse = (F.col("o") == F.col("w_s")) & (F.col("need") == F.col("w_p")) & (F.col("s") == F.col("w_o"))
         back = need.join(w, reverse & (F.col("w_start") < F.col("end")) & (F.col("start") < F.col("w_end")))
         back = back.select(*group, F.col("w_start").alias("start"), F.col("w_end").alias("end")).distinct()
-        return subtract(need.select(*group, "start", "end"), back, group).select("row_id")
+        return subtract(need.select(*group, "start", "end"), back, group).select(*ROW)
     # Requirements: at each instant one of the values that are asked for, or any if the property alone is.
     who = F.col("s") if kind == "item_requires_statement" else F.col("o")
-    asked = own.withColumns({"who": who, "need": wd_to_wdt(F.col("pq2306"))}).where("need is not null").select("row_id", "cid", "who", "need", F.col("pq2305").alias("value"), "start", "end")
-    group = ["row_id", "cid", "need"]
+    group = [*ROW, "cid", "need"]
+    asked = left.withColumns({"who": who, "need": wd_to_wdt(F.col("pq2306"))}).where("need is not null").select(*group, "who", F.col("pq2305").alias("value"), "start", "end")
     meets = (F.col("w_start") < F.col("end")) & (F.col("start") < F.col("w_end"))
     there = asked.join(w, (F.col("who") == F.col("w_s")) & (F.col("need") == F.col("w_p")) & meets).select(*group, "w_o", "w_start", "w_end").distinct()
     points = (
@@ -154,20 +163,19 @@ def _broken(kind: str, rows: DataFrame, left: DataFrame, lifecycles: DataFrame,
     met = wanted.join(there, group, "left").withColumn(
         "ok", F.coalesce((F.col("w_start") <= F.col("t")) & (F.col("t2") <= F.col("w_end")) & (F.col("any_value") | (F.col("w_o") == F.col("value"))), F.lit(False))
     )
-    return met.groupBy(*group, "t").agg(F.bool_or("ok").alias("ok")).where("not ok").select("row_id")
+    return met.groupBy(*group, "t").agg(F.bool_or("ok").alias("ok")).where("not ok").select(*ROW)
 
 
-def _level(kind: str, rows: DataFrame, entries: DataFrame, exceptions: DataFrame, lifecycles: DataFrame | None, level: str, strict: bool) -> DataFrame:
+def _judged(kind: str, rows: DataFrame, listed: DataFrame, lifecycles: DataFrame | None, strict: bool) -> DataFrame:
     if kind in ("one_of", "none_of"):
-        return _one_of(rows, entries, exceptions, level, kind == "none_of")
+        return _one_of(rows, listed, kind == "none_of")
     keys = {"inverse": ["pq2306"], "symmetric": [], "conflicts_with": ["pq2306", "pq2305"]}.get(kind, ["cid", "pq2306", "pq2305"])
-    cut, left = _remaining(rows, entries, exceptions, level, keys)
+    cut = _cut(rows, listed.where("role = 'entry'"))
     if kind != "symmetric":
-        known = wd_to_wdt(F.col("pq2306")).isNotNull()
-        cut, left = cut.where(known), left.where(known)
-    found = _presence(rows, entries.unionByName(exceptions), level).drop("has_entry")
-    present = found.join(_presence(rows, entries, level).drop("known_prop"), "row_id", "left")
-    return _status(rows, present, cut, left, _broken(kind, rows, left, lifecycles, strict), GOOD[kind])
+        cut = cut.where(wd_to_wdt(F.col("pq2306")).isNotNull())
+    # The row's own terms go through the subtraction as keys, so that its rows are not joined again.
+    left = cut_lineage(_remaining(cut, _exempt(rows, listed.where("role = 'exception'")), ["s", "p", "o", *keys]))
+    return _status(_with_presence(rows, listed), cut, left, _broken(kind, left, lifecycles, strict), GOOD[kind])
 
 
 def validate(
@@ -175,20 +183,21 @@ def validate(
 ) -> DataFrame:
     """(row_id, historical_status_property_level, historical_status_constraint_id_level) of each correction.
 
-    A conflict that names a property without a value never contradicts, as no object is null; strict_any_value makes any
-    value of the property one. as_of stands for the end of what is still there (one-of); without it, it is far off.
+    Both levels are judged in one pass, the level being a key. A conflict that names a property without a value never
+    contradicts, as no object is null; strict_any_value makes any value of the property one. as_of stands for the end of
+    what is still there (one-of); without it, it is far off.
     """
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
-    rows, own, exceptions = (cut_lineage(x) for x in _prepared(corrections, entries, as_of))
+    rows, listed = (cut_lineage(x) for x in _prepared(corrections, entries, as_of))
     if lifecycles is not None and kind not in ("one_of", "none_of"):
         # Only lifecycles of properties that some entry asks for can witness anything.
-        asked = rows.select("p") if kind == "symmetric" else own.select(wd_to_wdt(F.col("pq2306")).alias("p"))
+        asked = rows.select("p") if kind == "symmetric" else listed.where("role = 'entry'").select(wd_to_wdt(F.col("pq2306")).alias("p"))
         needed = asked.where("p is not null").distinct()
         lifecycles = cut_lineage(lifecycles.select("s", "p", "o", "cdate", "ddate").join(needed, "p", "left_semi"))
-    both = [_level(kind, rows, own, exceptions, lifecycles, level, strict_any_value) for level in ("property", "constraint")]
+    both = _judged(kind, rows, listed, lifecycles, strict_any_value)
     names = "historical_status_property_level", "historical_status_constraint_id_level"
-    return both[0].withColumnRenamed("status", names[0]).join(both[1].withColumnRenamed("status", names[1]), "row_id")
+    return both.groupBy("row_id").agg(*(F.max(F.when(F.col("level") == level, F.col("status"))).alias(n) for level, n in zip(LEVELS, names, strict=True)))
 
 
 def summary(validated: DataFrame) -> DataFrame:

@@ -49,17 +49,37 @@ def class_edit_totals(spark: SparkSession, sf: str) -> DataFrame:
     return classes.merge_counts(counts).withColumn("user", F.col("user").cast("long"))
 
 
+_US = "%Y-%m-%d %H:%M:%S.%f"
+
+
 @query(
     "class_documents",
-    f"""WITH {P.CLS} SELECT class, count(*) AS entries, CAST(sum(n) AS BIGINT) AS edits, min(cdate) AS first_cdate FROM cec GROUP BY class""",
+    f"""WITH {P.CLS} SELECT class, count(*) AS entries, CAST(sum(n) AS BIGINT) AS edits,
+    sha256(string_agg("user" || ' ' || strftime(cdate, '{_US}') || ' ' || coalesce(strftime(ddate, '{_US}'), '') || ' ' || n, '|' ORDER BY cdate, ddate NULLS FIRST, "user")) AS entries_sha256 FROM cec GROUP BY class""",
 )
 def class_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested documents; their entries, in their order, as a digest."""
     docs = classes.class_documents(class_edit_counts_interval(spark, sf), merge_identical=True)
-    rows = docs.select("class", F.explode("edit_counts").alias("e"))
-    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("entries"), F.sum("e.count").alias("edits"), F.min("e.cdate").alias("first_cdate"))
+    when = lambda t: F.coalesce(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
+    entry = F.transform("edit_counts", lambda e: F.concat_ws(" ", e["user"].cast("string"), when(e["cdate"]), when(e["ddate"]), e["count"].cast("string")))
+    edits = F.aggregate("edit_counts", F.lit(0).cast("long"), lambda n, e: n + e["count"])
+    return docs.select("class", F.size("edit_counts").cast("long").alias("entries"), edits.alias("edits"), F.sha2(F.array_join(entry, "|"), 256).alias("entries_sha256"))
+
+
+_SCAN = f"""WITH RECURSIVE {P.CLS},
+a AS (SELECT item, class, list(cdate ORDER BY cdate) AS ts FROM mem GROUP BY ALL), d AS (SELECT item, class, list(ddate ORDER BY ddate) AS ds FROM mem WHERE ddate IS NOT NULL GROUP BY ALL),
+g AS (SELECT item, class, ts, coalesce(ds, []) AS ds FROM a LEFT JOIN d USING (item, class)),
+st(item, class, ts, ds, i, j, opened, en) AS (
+  SELECT item, class, ts, ds, 0::BIGINT, 0::BIGINT, NULL::TIMESTAMP, TIMESTAMP '0001-01-01' FROM g
+  UNION ALL SELECT item, class, ts, ds, i + 1, CASE WHEN t >= en THEN coalesce(k, len(ds) + 1) ELSE j END, CASE WHEN t >= en THEN t END, CASE WHEN t >= en THEN coalesce(ds[k], {FAR}) ELSE en END
+    FROM (SELECT *, ts[i + 1] AS t, list_filter(range(j + 1, len(ds) + 1), lambda x: ds[x] >= ts[i + 1])[1] AS k FROM st WHERE i < len(ts))
+),
+iv AS (SELECT item, class, opened, en FROM st WHERE opened IS NOT NULL),
+r AS (SELECT item, t, 1 AS ord, CAST("user" AS VARCHAR) AS "user" FROM ed UNION ALL SELECT item, cdate, 0, 'o' FROM mem)
+SELECT "user", class, count(*) AS edit_count FROM r JOIN iv USING (item) WHERE (t > opened OR (t = opened AND ord > 0)) AND t < en GROUP BY ALL"""
 
 
-@query("class_edit_counts_scan")
+@query("class_edit_counts_scan", _SCAN)
 def class_edit_counts_scan(spark: SparkSession, sf: str) -> DataFrame:
     member = P.membership(spark, sf)
     ends = member.where("ddate is not null").select("item", "class", F.col("ddate").alias("t"))

@@ -48,3 +48,13 @@ def test_zero_length_row_inside_another_counts_only_as_touching_point(spark):
     a, b = frame(spark, [(3, 3)]), frame(spark, [(0, 9)])
     assert I.overlap_join(a, b, ["k"]).count() == 1
     assert I.overlap_join(a, b, ["k"], touching_point=False).count() == 0
+
+
+def test_closure_of_a_long_chain_and_a_cycle(spark):
+    from lifeloom.operators.closure import temporal_closure
+
+    edges = spark.range(120).selectExpr("id AS child", "id + 1 AS parent", "TIMESTAMP_NTZ '2024-01-01' AS start", "CAST(NULL AS TIMESTAMP_NTZ) AS end")
+    loop = spark.sql("SELECT 120L AS child, 0L AS parent, TIMESTAMP_NTZ '2024-01-05' AS start, TIMESTAMP_NTZ '2024-01-09' AS end")
+    found = {(r.child, r.parent): (r.start.day, r.end) for r in temporal_closure(edges.unionByName(loop)).collect()}
+    assert len(found) == 121 * 121 and found[0, 120] == (1, None)
+    assert found[120, 119][0] == found[7, 7][0] == 5 and found[7, 7][1].day == 9
