@@ -92,6 +92,31 @@ def rank_report(ranks: DataFrame, own: DataFrame) -> DataFrame:
     )
 
 
+def index_report(lifecycles: DataFrame, kind_table: DataFrame) -> DataFrame:
+    """What the constraint index holds, a row for each kind, statements without a link to a property included.
+
+    (kind, type, n_constraint_type_rows, n_constraint_statements, n_property_links, n_linked_constraint_statements,
+    n_properties, n_rank_rows, n_ranked_constraint_statements, n_qualifier_rows, qualifier_counts map<qualifier, rows>,
+    n_statements_without_property_link, n_statements_without_rank).
+    """
+    typed = lifecycles.where(F.col("p") == TYPE).join(F.broadcast(kind_table), F.col("o") == F.col("type")).select("kind", F.col("s").alias("statement"))
+    own = typed.distinct()
+    about = lifecycles.select(F.when(F.col("p") == LINK, F.col("o")).otherwise(F.col("s")).alias("statement"), "s", "p").join(own, "statement")
+    link, rank, qualifier = F.col("p") == LINK, F.col("p") == RANK, F.col("p").startswith(QUALIFIER)
+    # Counts of each statement first: the distinct statements of a kind are then plain sums.
+    each = about.where(link | rank | qualifier).groupBy("kind", "statement").agg(*(F.count_if(c).alias(n) for n, c in (("links", link), ("ranks", rank), ("qualifiers", qualifier))))
+    sums = own.join(each, ["kind", "statement"], "left").fillna(0).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_constraint_statements"), F.sum("links").alias("n_property_links"), F.count_if(F.col("links") > 0).alias("n_linked_constraint_statements"),
+        F.sum("ranks").alias("n_rank_rows"), F.count_if(F.col("ranks") > 0).alias("n_ranked_constraint_statements"), F.sum("qualifiers").alias("n_qualifier_rows"),
+        F.count_if(F.col("links") == 0).alias("n_statements_without_property_link"), F.count_if(F.col("ranks") == 0).alias("n_statements_without_rank"),
+    )
+    props = about.where(link).groupBy("kind").agg(F.countDistinct("s").alias("n_properties"))
+    named = about.where(qualifier).groupBy("kind", "p").agg(F.count(F.lit(1)).alias("n"))
+    named = named.groupBy("kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "n")))).alias("qualifier_counts"))
+    rows = typed.groupBy("kind").agg(F.count(F.lit(1)).alias("n_constraint_type_rows"))
+    return kind_table.join(rows, "kind").join(sums, "kind").join(props, "kind", "left").join(named, "kind", "left").fillna(0, ["n_properties"])
+
+
 def raw_documents(types: DataFrame, links: DataFrame, ranks: DataFrame, qualifiers: DataFrame) -> DataFrame:
     """(prop, kind, statements array): each statement with its type, link, rank and qualifier intervals, nested."""
     span = F.struct("start", "end")
@@ -148,12 +173,42 @@ def entries(types: DataFrame, links: DataFrame, ranks: DataFrame, qualifiers: Da
     return out.unionByName(made(active_qualifiers(active, qualifiers, EXCEPTION), "exception", entity=F.col("value")))
 
 
-def load_simplified(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Entries from a simplified constraint document: {prop: {list name: [{..., start_date, end_date, constraint_id}]}}."""
+#: The list that holds a kind's entries in a simplified document.
+_LISTS = {"values": VALUE, "properties": PROPERTY, "active": "active_intervals"}
+
+
+def _list_of(kind: str) -> str:
+    return _LISTS.get(EXPORTS[kind], "conflicts" if kind == "conflicts_with" else "requirements")
+
+
+def simplified_documents(found: DataFrame, kind: str) -> DataFrame:
+    """(prop, document): entries and exceptions of one kind as JSON {prop: {list name: [...]}}, a document a property."""
+    when = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    name = F.when(F.col("role") == "exception", EXCEPTION).otherwise(_list_of(kind))
+    entity = F.when(name == PROPERTY, F.col("pq2306")).otherwise(F.col("entity"))
+    pair = F.when(name == PROPERTY, None).otherwise(F.col("pq2306"))
+    row = F.struct(
+        entity.alias("entity"), pair.alias(PROPERTY), F.col("pq2305").alias(VALUE), when("start").alias("start_date"), when("end").alias("end_date"), F.col("constraint_id").alias("constraint_id")
+    )
+    lists = found.where(F.col("kind") == kind).groupBy("prop", name.alias("name")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    docs = lists.groupBy("prop").agg(F.map_from_entries(F.collect_list(F.struct("name", "rows"))).alias("lists"))
+    return docs.select("prop", F.to_json(F.create_map("prop", "lists")).alias("document"))
+
+
+def write_simplified(found: DataFrame, kind: str, path: str) -> None:
+    """Simplified documents of one kind, a line each."""
+    simplified_documents(found, kind).select("document").write.mode("overwrite").text(path)
+
+
+def load_simplified(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """Entries from simplified constraint documents: {prop: {list name: [{..., start_date, end_date, constraint_id}]}}.
+
+    A file is one document, or, with lines, each of its lines is one.
+    """
     row = "struct<`pq:P2306`:string,`pq:P2305`:string,entity:string,start_date:string,end_date:string,constraint_id:string>"
     lists = "active_intervals", "requirements", "conflicts", VALUE, PROPERTY, EXCEPTION
     schema = f"map<string,struct<{','.join(f'`{x}`:array<{row}>' for x in lists)}>>"
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not lines)
     props = text.select(F.explode(F.from_json("value", schema)).alias("prop", "doc"))
     out = None
     for name in lists:
