@@ -31,3 +31,21 @@ def test_sweep_gives_what_single_runs_give(spark):
     got = {(r.baseline, r.min_edits, r.alpha, r.user): r.kl_divergence_smoothed for r in sweeps.kl_sweep(counts, both, [2, 15], [0.1, 1.0]).collect()}
     want = {(n, m, a, r.user): r.kl_divergence_smoothed for n, b in (("one", one), ("two", two)) for m in (2, 15) for a in (0.1, 1.0) for r in S.smoothed_kl(counts, b, a, m).collect()}
     assert len(want) > 8 and got == pytest.approx(want)
+
+
+def test_factors_are_those_of_numpy(spark):
+    import numpy as np
+
+    from lifeloom.operators import factors
+
+    rows = [(f"u{i}", f"p{j}", (i * 7 + j * 5) % 6 + 1) for i in range(30) for j in range(8) if (i + j) % 3]
+    counts = spark.createDataFrame(rows, "user string, property string, count long")
+    table = S.tfidf(counts).toPandas().pivot(index="user", columns="property", values="tfidf").fillna(0)
+    left, values, _ = np.linalg.svd(table.to_numpy(), full_matrices=False)
+    found, got = factors.factors(counts, 3)
+    assert got == pytest.approx(values[:3].tolist(), rel=1e-6)
+    placed = {r.user: r.features.toArray() for r in found.collect()}
+    want = left[:, :3] * values[:3]
+    assert np.allclose(np.abs([placed[u] for u in table.index]), np.abs(want), atol=1e-6)
+    users, _ = factors.clusters(found, 3)
+    assert users.count() == 30 and {r.cluster for r in users.collect()} == {0, 1, 2}
