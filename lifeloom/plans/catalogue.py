@@ -29,7 +29,7 @@ def oracle_text(name: str) -> str:
 
 
 def _load() -> None:
-    from lifeloom.plans import constraint_queries, history_queries, report_queries, specialist_queries  # noqa: F401
+    from lifeloom.plans import constraint_queries, history_queries, report_queries, source_queries, specialist_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
 import lzma
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,12 @@ from pyspark.sql import functions as F
 
 from lifeloom.functions.terms import parse_time
 from lifeloom.schema import LIFECYCLE_TEXT
+from lifeloom.session import cut_lineage
 
 #: Doubled quotes, as the files have them: Spark's default escape character would change literals with backslashes.
 DIALECT = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+#: Compressed bytes that are decoded at once.
+PIECE = 1 << 20
 
 
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,9 +28,13 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", normalise: bool = False) -> DataFrame:
-    """All columns as text; normalise trims and lower-cases header names and trims cells. Short rows end in nulls."""
-    df = spark.read.options(**DIALECT).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", normalise: bool = False, single_lines: bool = False) -> DataFrame:
+    """All columns as text; normalise trims and lower-cases header names and trims cells. Short rows end in nulls.
+
+    Cells may hold line ends, so a file is one task; with single_lines they may not, and plain files are split. Large
+    tables are converted to Parquet once (write_by_subject) and read from there.
+    """
+    df = spark.read.options(**DIALECT).options(sep=sep, mode="PERMISSIVE", multiLine=str(not single_lines).lower()).csv(path)
     if normalise:
         df = df.toDF(*(c.strip().lower() for c in df.columns))
         df = df.select(*(F.trim(c).alias(c) for c in df.columns))
@@ -44,16 +50,47 @@ def read_lifecycle_csv(spark: SparkSession, path: str, sep: str = ",", with_sour
 
 
 def read_compressed_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) of .gz, .bz2, .xz or plain files; bytes that are no UTF-8 are replaced. A file is read as a whole."""
-    openers = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".xz": lzma.decompress}
+    """(path, line) of plain, .gz, .bz2 and .xz files; lines end at a line feed, bytes that are no UTF-8 are replaced.
+
+    Spark's own reader takes all but .xz, plain and .bz2 files in splits. An .xz file is one task, which decodes it piece
+    by piece; Spark hands it over as a whole, so it is bounded by what a binary cell holds (2 GB compressed).
+    """
+
+    def lines(data: bytes) -> Iterator[str]:
+        decoder, rest, at = lzma.LZMADecompressor(), b"", 0
+        while at < len(data):
+            if decoder.eof:  # another stream in the same file
+                decoder = lzma.LZMADecompressor()
+            piece = decoder.decompress(data[at : at + PIECE])
+            at = min(len(data), at + PIECE) - len(decoder.unused_data)
+            *whole, rest = (rest + piece).split(b"\n")
+            yield from (x.decode("utf-8", "replace") for x in whole)
+        if rest:
+            yield rest.decode("utf-8", "replace")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
-                plain = next((f(data) for end, f in openers.items() if name.endswith(end)), data)
-                yield pd.DataFrame({"line": plain.decode("utf-8", "replace").splitlines()}).assign(path=name)[["path", "line"]]
+                found = lines(data)
+                while held := list(islice(found, 10_000)):
+                    yield pd.DataFrame({"path": name, "line": held})
+
+    plain = spark.read.option("pathGlobFilter", "{*[^z],*.gz}").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(path).select("path", "content")
+    return plain.union(packed.mapInPandas(run, "path string, line string"))
+
+
+def first_file(spark: SparkSession, path: str) -> str:
+    """The file of a folder (or of a glob) that comes first by name."""
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only
+    return files.agg(F.min("path")).first()[0]
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line string")
+def read_corrections(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(row_id, constraint_id, s, p, o) of a correction table, cells trimmed; row_id is unique and stays the same as long
+    as the files do."""
+    df = require(read_csv(spark, path, sep, normalise=True), ["constraint_id", "s", "p", "o"])
+    return df.select(F.monotonically_increasing_id().alias("row_id"), "constraint_id", "s", "p", "o")
 
 
 def subjects(lifecycles: DataFrame, file: str = "src_file") -> DataFrame:
@@ -71,10 +108,10 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "s") -> D
     return spark.read.parquet(path).join(keys.select(key).distinct(), key, "left_semi")
 
 
-def read_class_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(class, user, cdate, ddate, count) of nested class documents."""
+def read_class_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(class, user, cdate, ddate, count) of nested class documents: a JSON array of them, or, with lines, one a line."""
     entry = "array<struct<user:string,cdate:string,ddate:string,count:long>>"
-    docs = spark.read.schema(f"class string, edit_counts {entry}").option("multiLine", "true").json(path)
+    docs = spark.read.schema(f"class string, edit_counts {entry}").option("multiLine", str(not lines).lower()).json(path)
     return docs.select("class", F.explode("edit_counts").alias("e")).select("class", "e.user", "e.cdate", "e.ddate", "e.count")
 
 
@@ -114,7 +151,7 @@ def write_once(df: DataFrame, path: str) -> None:
 
 
 def split_bad_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, text of rows that do not fit the schema)."""
+    """(good rows, text of rows that do not fit the schema); the files are parsed once, into the shared folder."""
     own = f"{schema}, _bad string"
-    df = spark.read.options(**DIALECT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(own).csv(path)
+    df = cut_lineage(spark.read.options(**DIALECT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(own).csv(path))
     return df.where("_bad is null").drop("_bad"), df.where("_bad is not null").select("_bad")
