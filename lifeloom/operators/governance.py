@@ -36,7 +36,7 @@ def top_labels(rows: DataFrame, label: str, k: int) -> list[str]:
 def rolling_mean(pivoted: DataFrame, columns: list[str], rows: int = 3) -> DataFrame:
     """Means over the last so many periods that are there. One row a period: a calendar's length, not the data's."""
     w = Window.partitionBy().orderBy("period").rowsBetween(-(rows - 1), 0)
-    return pivoted.select("period", *(F.avg(c).over(w).alias(f"{c}_rolling") for c in columns))
+    return pivoted.select("period", *(F.avg(F.col(f"`{c}`")).over(w).alias(f"{c}_rolling") for c in columns))
 
 
 def dominant(rows: DataFrame, key: str, category: str, prefix: str) -> DataFrame:

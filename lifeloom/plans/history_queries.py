@@ -321,9 +321,33 @@ def enrich_exact(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.enrich_exact(_asked(spark, sf), P.lifecycles(spark, sf))
 
 
-@query("enrich_normalised", _ENRICHED.replace("ask.o, cdate", "CASE WHEN row_id LIKE 'r%' THEN ' ' || ask.o ELSE ask.o END AS o, lc.o AS matched_history_o, cdate").replace("USING (s, p, o)", "USING (s, p) WHERE FALSE").replace("LEFT JOIN lc USING (s, p) WHERE FALSE", "LEFT JOIN lc USING (s, p, o)"))
+_FORMS = f"""WITH {P.LC},
+h AS (SELECT *, CASE p WHEN 'wdt:P1' THEN repeat('"', 3) || substr(o, 4) || repeat('"', 3) ELSE '"0' || substr(o, 5) || '.50"^^http://example.org/x#decimal' END AS ho FROM lc),
+u AS (SELECT 'wd:Q' || CAST(user_id AS VARCHAR) AS s, max(event_type) AS t, max(CAST(floor(value / 100) AS BIGINT)) AS b FROM events GROUP BY user_id),
+ask AS (
+  SELECT s, 'wdt:P1' AS p, 'wd:' || t AS k, '\\u00' || lower(hex(t[1])) || substr(t, 2) AS o FROM u
+  UNION ALL SELECT s, 'wdt:P2', 'wd:B' || b, '{{"amount":"+' || b || '.5","unit":"1"}}' FROM u
+  UNION ALL SELECT s, 'wdt:P2', 'none', '7.25' FROM u
+)
+SELECT ask.s || '|' || ask.o AS row_id, ask.s, ask.p, ask.o, ho AS matched_history_o, cdate, cuser, ddate, duser, CASE WHEN cdate IS NULL THEN 'not_found' ELSE 'found' END AS match_status
+FROM ask LEFT JOIN h ON h.s = ask.s AND h.p = ask.p AND h.o = ask.k"""
+
+
+@query("enrich_normalised", _FORMS)
 def enrich_normalised(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.enrich_normalised(_asked(spark, sf), P.lifecycles(spark, sf))
+    """Quoted texts and typed decimals in the history; escapes and JSON amounts in the corrections."""
+    lc, e = P.lifecycles(spark, sf), P.table(spark, sf, "events")
+    typed = F.concat(F.lit('"0'), F.substring("o", 5, 20), F.lit('.50"^^http://example.org/x#decimal'))
+    history = lc.withColumn("o", F.when(F.col("p") == "wdt:P1", F.concat(F.lit('"""'), F.substring("o", 4, 99), F.lit('"""'))).otherwise(typed))
+    u = e.groupBy(F.concat(F.lit("wd:Q"), F.col("user_id").cast("string")).alias("s")).agg(F.max("event_type").alias("t"), F.max(F.floor(F.col("value") / 100)).cast("string").alias("b"))
+    escaped = F.concat(F.lit("\\u00"), F.lower(F.hex(F.substring("t", 1, 1))), F.substring("t", 2, 99))
+    forms = {"wdt:P1": (escaped,), "wdt:P2": (F.concat(F.lit('{"amount":"+'), "b", F.lit('.5","unit":"1"}')), F.lit("7.25"))}
+    asked = None
+    for p, objects in forms.items():
+        for o in objects:
+            own = u.select("s", F.lit(p).alias("p"), o.alias("o")).withColumn("row_id", F.concat("s", F.lit("|"), "o"))
+            asked = own if asked is None else asked.union(own)
+    return enrich.enrich_normalised(asked, history).select("row_id", "s", "p", "o", "matched_history_o", "cdate", "cuser", "ddate", "duser", "match_status")
 
 
 @query(
@@ -337,19 +361,20 @@ def creator_deleter_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return governance.creator_deleter_matrix(rows.select(bot("user").alias("creator_bot"), bot("duser").alias("deleter_bot")))
 
 
-_DAYS = ", ".join(f"count(*) FILTER (constraint_type = 'wd:B{i}') AS b{i}" for i in range(3))
-
-
 @query(
     "period_rolling",
-    f"""WITH {P.GOV}, d AS (SELECT date_trunc('day', cdate) AS period, {_DAYS} FROM gov GROUP BY 1)
-    SELECT period, {", ".join(f'round(avg(b{i}) OVER (ORDER BY period ROWS 2 PRECEDING), 6) AS b{i}_rolling' for i in range(3))} FROM d""",
+    f"""WITH {P.GOV}, n AS (SELECT date_trunc('day', cdate) AS period, constraint_type, count(*) AS n FROM gov GROUP BY ALL), tp AS (SELECT constraint_type FROM n GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 5),
+    g AS (SELECT p.period, tp.constraint_type, coalesce(n, 0) AS n FROM (SELECT DISTINCT period FROM n) p CROSS JOIN tp LEFT JOIN n ON n.period = p.period AND n.constraint_type = tp.constraint_type)
+    SELECT period, constraint_type, round(avg(n) OVER (PARTITION BY constraint_type ORDER BY period ROWS 2 PRECEDING), 6) AS rolling FROM g""",
 )
 def period_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    labels = [f"wd:B{i}" for i in range(3)]
-    p = governance.period_pivot(P.governance_rows(spark, sf), "cdate", "constraint_type", labels, "day").withColumnsRenamed({f"wd:B{i}": f"b{i}" for i in range(3)})
-    r = governance.rolling_mean(p.withColumn("period", F.col("period").cast("timestamp_ntz")), ["b0", "b1", "b2"])
-    return r.select("period", *(F.round(f"b{i}_rolling", 6).alias(f"b{i}_rolling") for i in range(3)))
+    """A column for each of the five main types, whatever they are, and these columns as rows again."""
+    rows = P.governance_rows(spark, sf)
+    labels = governance.top_labels(rows, "constraint_type", 5)
+    pivoted = governance.period_pivot(rows, "cdate", "constraint_type", labels, "day")
+    rolled = governance.rolling_mean(pivoted.withColumn("period", F.col("period").cast("timestamp_ntz")), labels)
+    pairs = F.explode(F.array(*(F.struct(F.lit(x).alias("constraint_type"), F.round(F.col(f"`{x}_rolling`"), 6).alias("rolling")) for x in labels)))
+    return rolled.select("period", pairs.alias("x")).select("period", "x.*")
 
 
 _DOM = """t AS (SELECT "user", constraint_type, count(*) AS n FROM gov GROUP BY ALL),
