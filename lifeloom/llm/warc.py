@@ -6,7 +6,8 @@ A record's block is an HTTP response whose body has chunked transfer framing. A
 the first segment keeps the record's type and id, the others are `continuation` records with WARC-Segment-Origin-ID
 and ascending WARC-Segment-Number, the last one with WARC-Segment-Total-Length.
 
-Reading parses the archives by Content-Length, groups the segments of a record by their origin, orders them by
+Reading parses the archives by Content-Length as it decompresses them (an archive may be one gzip member, as those written
+here, or have one for each record), groups the segments of a record by their origin, orders them by
 segment number, verifies the total length, decodes the chunks and compares the payload with its digest.
 """
 
@@ -14,8 +15,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +32,11 @@ MIN_REVISIT = 1000
 SEGMENT = 16_384
 #: Bytes of a chunk of the transfer framing, about.
 CHUNK = 4096
-#: Records (segments) of an archive, at most, so that a file can be read as a whole.
-RECORDS = 512
+#: Records (segments) of an archive, at most: about 128 MB before compression. Its compressed bytes are read as a whole, its
+#: records one after another.
+RECORDS = 8192
+#: Bytes of blocks that leave the reader at once.
+BATCH = 8_000_000
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
 
@@ -102,7 +108,7 @@ def records_of(
 def with_revisits(pages: DataFrame, minimum: int = MIN_REVISIT) -> DataFrame:
     """Pages (page_id, url, html) with row, digest and refers_to: row and largest page_id of the same payload.
 
-    Payloads are grouped by SHA-1, SHA-256 and length, with partial sums before the shuffle; only payloads that occur
+    Payloads are grouped by SHA-1 and SHA-256, with partial sums before the shuffle; only payloads that occur
     again are joined back, and that join may be split where one payload is very common.
     """
     rows = pages.select(
@@ -148,23 +154,25 @@ def write_warc(pages: DataFrame, path: str, minimum: int = MIN_REVISIT) -> None:
     lines.write.options(lineSep=_END, maxRecordsPerFile=RECORDS, compression="gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive."""
-    at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        at = end + 4 + int(headers["content-length"])
-        if at > len(data):
+    ends = (b"\r\n", b"\n")
+    while line := stream.readline():
+        if line in ends:
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:40]!r}")
+        headers = {}
+        while (line := stream.readline()) not in ends:
+            if not line:
+                raise ValueError("an archive ends within a record")
+            name, _, value = line.decode("utf-8").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        size = int(headers["content-length"])
+        block = stream.read(size)
+        if len(block) < size:
             raise ValueError("an archive ends within a record")
-        yield headers, data[end + 4 : at]
+        yield headers, block
 
 
 _SEGMENTS = (
@@ -178,10 +186,16 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [f.split()[0] for f in _SEGMENTS.split(", ")]
+
+        def made(out: list[tuple]) -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=columns)
+            return frame.astype({"total": "Int64", "page_id": "Int64", "refers_to_page": "Int64"})
+
         for b in batches:
             for data in b["content"]:
-                out = []
-                for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                held = io.BytesIO(data)
+                out, size = [], 0
+                for h, block in parse(gzip.GzipFile(fileobj=held) if data[:2] == b"\x1f\x8b" else held):
                     more = "warc-segment-number" in h
                     page, to = h.get("page-id"), h.get("refers-to-page-id")
                     out.append(
@@ -199,10 +213,11 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                             block,
                         )
                     )
-                frame = pd.DataFrame(out, columns=columns)
-                for c, kind in (("total", "Int64"), ("page_id", "Int64"), ("refers_to_page", "Int64")):
-                    frame[c] = frame[c].astype(kind)
-                yield frame
+                    size += len(block)
+                    if size >= BATCH:
+                        yield made(out)
+                        out, size = [], 0
+                yield made(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt{,.gz}").load(path).select("content")
     return files.mapInPandas(run, _SEGMENTS)

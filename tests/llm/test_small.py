@@ -278,6 +278,16 @@ def test_broken_segments_are_found(spark, tmp_path):
     assert pages.count() == 1
 
 
+def test_archives_with_a_member_a_record_are_read(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "w").mkdir()
+    records = [r for i in range(3) for r in warc.records_of(i, 0, "u", b"b" * 40_000 * i, hashlib.sha1(b"b" * 40_000 * i).hexdigest(), None)]
+    (tmp_path / "w" / "a.txt.gz").write_bytes(b"".join(gzip.compress((r + "\r\n").encode()) for r in records))
+    got = {r.page_id: len(r.payload) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {0: 0, 1: 40_000, 2: 80_000}
+
+
 def test_chunk_framing():
     for n in (0, 1, 4096, 4097, 20_000):
         data = ("ü" * n).encode()
