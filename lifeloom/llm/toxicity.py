@@ -12,7 +12,7 @@ part of its own, trained on the words that recur in its class and hardly in the
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -147,19 +147,32 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """Three of four texts of each class train the dictionaries, the others calibrate threshold and weights."""
     tox, low = (([t for i, t in enumerate(x) if i % 4 != 1], x[1::4]) for x in (toxic, ordinary))
     words = [[[w for x in windows_of(t) for w in x.split()] for t in side[0]] for side in (tox, low)]
-    runs = {w: pieces_of(w) for side in words for text in side for w in text}
-    # How many different words a run follows: copies of a text, exact or near, count once.
-    held_by = [Counter(r for _, r in {(p, r) for text in side for p, w in zip([b"", *text], text, strict=False) for r in runs[w]}) for side in words]
-    texts_of = [Counter(r for text in side for r in {r for w in text for r in runs[w]}) for side in words]
+    number: dict[bytes, int] = {}
+    runs = {w: tuple(number.setdefault(r, len(number)) for r in sorted(pieces_of(w))) for side in words for text in side for w in text}
+    place = {w: i for i, w in enumerate(runs, 1)}
+
+    def spread(side: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """How many different words each run follows (copies of a text, exact or near, count once), and how many texts hold it."""
+        pairs, held = array("Q"), np.zeros(len(number), np.int64)
+        for text in side:
+            before, start = 0, len(pairs)
+            for w in text:
+                pairs.extend(before << 32 | r for r in runs[w])
+                before = place[w]
+            held[np.unique(np.frombuffer(pairs[start:], np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64)] += 1
+        distinct = np.unique(np.frombuffer(pairs, np.uint64)) & np.uint64(0xFFFFFFFF)
+        return np.bincount(distinct.astype(np.int64), minlength=len(number)), held
+
+    spreads = [spread(side) for side in words]
     plain = _dictionary([w for text in words[1] for w in text], DICT_BYTES)
 
     def apart(mine: int) -> bytes:
         # Nearly all words of a toxic text are ordinary: the own part is trained on words with runs that recur in one class only.
-        own, other = held_by[mine], held_by[1 - mine]
+        (own, texts), (other, _) = spreads[mine], spreads[1 - mine]
         share = len(words[mine]) / max(1, len(words[1 - mine]))
         many = max(MIN_AFTER, MIN_SHARE * len(words[mine]))
-        marks = {r for r, n in own.items() if min(n, texts_of[mine][r]) >= many and n >= MIN_RATIO * (share * other[r] + 0.5)}
-        return _dictionary([w for text in words[mine] for w in text if not marks.isdisjoint(runs[w])], OWN_BYTES)
+        mark = (np.minimum(own, texts) >= many) & (own >= MIN_RATIO * (share * other + 0.5))
+        return _dictionary([w for text in words[mine] for w in text if any(mark[r] for r in runs[w])], OWN_BYTES)
 
     toxic_dict, plain_dict = plain + apart(0), plain + apart(1)
     scorer = Scorer(toxic_dict, plain_dict)
