@@ -11,7 +11,8 @@ becomes `\\{`; in roles, which end at a line end, a line end becomes `\\|`.
 
 A turn's formatted text stands once in the table of turns; an example points to a prefix of its conversation by number
 of turns and characters and holds its own reply. No conversation is gathered into one row to be formatted, so a
-conversation of any length costs its own size; render_examples() writes prefixes out where full texts are wanted.
+conversation of any length costs its own size; render_examples() writes prefixes out where full texts are wanted. Only
+read_back(), which digests whole conversations, puts a conversation's written text into one row.
 """
 
 from __future__ import annotations
