@@ -1,8 +1,8 @@
 """Exact top-k inner products, pruned by norms and by SVD-rotated partial sums.
 
 Vectors are sorted by descending length and written in blocks. The head block, with the longest vectors, gives every
-query a first k-th score. Then query blocks meet candidate blocks; a pair of blocks is left out if no product of its
-vectors can reach the lowest k-th score of the query block. Within a pair, vectors are rotated to the right singular
+query a first k-th score. Then query blocks are sent to the candidate blocks, in rounds of bounded size; a pair of blocks
+is left out if no product of its vectors can reach the lowest k-th score of the query block. Within a pair, vectors are rotated to the right singular
 vectors of all data, so that a few leading coordinates hold most of a product, and
 
     <q, x>  <=  <q, x> on the leading coordinates  +  |rest of q| * |rest of x|      (Cauchy-Schwarz)
@@ -27,6 +27,8 @@ SCALE = 256
 BLOCK = 4096
 #: Components of a block, at most, but for one vector that has more: wide vectors make small blocks.
 CELLS = 1 << 21
+#: Bytes of query blocks that are broadcast at once.
+ROUND = 64_000_000
 #: Leading components that are rotated, at most; those beyond it count among the rest, so results are the same.
 TURNED = 1024
 #: Share of the squared length that the leading coordinates hold.
@@ -164,6 +166,21 @@ def search(
                 yield own, v, s
 
 
+def rounds_of(blocks: list, limit: int = ROUND) -> Iterator[tuple[list[int], float]]:
+    """(numbers of query blocks, their least reach) of each round: blocks of (block, reach, size) in the order given, of at
+    most `limit` bytes together, or one that is larger."""
+    held, size, least = [], 0, 0.0
+    for r in blocks:
+        if held and size + r["size"] > limit:
+            yield held, least
+            held, size = [], 0
+        least = min(least, r["reach"]) if held else r["reach"]
+        held.append(r["block"])
+        size += r["size"]
+    if held:
+        yield held, least
+
+
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query with every other row.
 
@@ -228,19 +245,18 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: i
         *asked.columns, F.coalesce("qs", blank[0]).alias("qs"), F.coalesce("fs", blank[1]).alias("fs")
     )
     ready = ready.mapInPandas(with_floor, "block long, ids binary, vectors binary, width int, floors binary, reach double")
-    # Which blocks meet is decided on their numbers and bounds alone; the vectors follow by equality joins.
+    # Candidate blocks stay where they are: bounded rounds of query blocks are sent to them, those with like reach together.
     # No vector of a candidate block can reach a floor unless its longest one is as long as the least floor / |q|.
     reach = Durable(ready).df
-    bounds = reach.select(F.col("block").alias("q_block"), "reach")
     head = stored.agg(F.min("block")).first()[0]
-    sides = stored.where(F.col("block") != F.lit(head if head is not None else -1)).select("block", "longest")
-    pairs = bounds.join(sides, sides["longest"] * (1 + 1e-9) + 1e-6 >= bounds["reach"]).select("q_block", F.col("block").alias("x_block"))
-    met = (
-        pairs.join(reach.withColumnRenamed("block", "q_block"), "q_block")
-        .join(stored.select(F.col("block").alias("x_block"), F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors"), F.col("width").alias("x_width")), "x_block")
-        .select("ids", "vectors", "width", "floors", "x_ids", "x_vectors", "x_width")
-    )
-    found = first.unionByName(met.mapInPandas(against, hit))
+    sides = stored.where(F.col("block") != F.lit(head if head is not None else -1))
+    sides = sides.select(F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors"), F.col("width").alias("x_width"), (F.col("longest") * (1 + 1e-9) + 1e-6).alias("x_reach"))
+    size = F.octet_length("vectors") + F.octet_length("ids") + F.octet_length("floors")
+    found = first
+    for blocks, least in rounds_of(reach.select("block", "reach", size.alias("size")).orderBy("reach", "block").collect()):  # a row a query block
+        sent = F.broadcast(reach.where(F.col("block").isin(blocks)))
+        met = sides.where(F.col("x_reach") >= least).join(sent, F.col("x_reach") >= F.col("reach"))
+        found = found.unionByName(Durable(met.select("ids", "vectors", "width", "floors", "x_ids", "x_vectors", "x_width").mapInPandas(against, hit)).df)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

@@ -468,6 +468,7 @@ def test_top_k_against_brute_force(spark, block):
 
 def test_top_k_of_huge_and_ragged_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "CELLS", 3000)
+    monkeypatch.setattr(topk.rounds_of, "__defaults__", (2000,))
     monkeypatch.setattr(topk, "TURNED", 8)
     r = np.random.default_rng(7)
     data = [(i, [float(x) for x in r.normal(size=r.integers(1, 30))]) for i in range(80)] + [(90, [0.25] * 5000), (91, [-1.0] * 2000)]
