@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lifeloom.functions.terms import days_between
+from lifeloom.session import cut_lineage
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -122,13 +123,22 @@ def type_concentration(creations: DataFrame, min_rows: int = 100) -> DataFrame:
 def co_participation(rows: DataFrame, min_shared: int = 3) -> DataFrame:
     """(user_1, user_2, shared): pairs of users active in at least so many common types; rows are (user, constraint_type).
 
-    The number of pairs is what is asked for; each type's users meet through an equality join on the type that may be
-    split where a type is hot.
+    A user's types are ordered by how many users have them. Two users that share so many types share one that is not
+    among the last min_shared - 1 of either, so users meet on the others only: those of fewer types meet nobody, and the
+    types that everyone has make no pairs. What they share is then counted on both users' types.
     """
-    own = rows.select("user", "constraint_type").distinct()
-    a, b = own.withColumnRenamed("user", "user_1"), own.withColumnRenamed("user", "user_2")
-    pairs = a.join(b, "constraint_type").where("user_1 < user_2").groupBy("user_1", "user_2").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(F.col("shared") >= min_shared)
+    own = rows.select("user", "constraint_type").where("user is not null and constraint_type is not null").distinct()
+    often = own.groupBy("constraint_type").agg(F.count(F.lit(1)).alias("held"))
+    types = own.join(often, "constraint_type").groupBy("user").agg(F.array_sort(F.collect_list(F.struct("held", "constraint_type"))).alias("types"))
+    types = cut_lineage(types.where(F.size("types") >= min_shared).select("user", F.transform("types", lambda t: t["constraint_type"]).alias("types")))
+    met = types.select("user", F.explode(F.slice("types", F.lit(1), F.size("types") - (min_shared - 1))).alias("type"))
+    a, b = met.withColumnRenamed("user", "user_1"), met.withColumnRenamed("user", "user_2")
+    pairs = a.join(b, "type").where("user_1 < user_2").select("user_1", "user_2").distinct()
+    sides = (types.select(F.col("user").alias(f"user_{i}"), F.col("types").alias(f"types_{i}")) for i in (1, 2))
+    for side in sides:
+        pairs = pairs.join(side, side.columns[0])
+    counted = pairs.select("user_1", "user_2", F.size(F.array_intersect("types_1", "types_2")).cast("long").alias("shared"))
+    return counted.where(F.col("shared") >= min_shared)
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
