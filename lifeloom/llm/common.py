@@ -64,6 +64,7 @@ class Durable:
     def drop(self) -> None:
         """Delete the files; only once nothing reads them any more."""
         _delete(self.spark, self.path)
+        _written[:] = [w for w in _written if w[1] != self.path]
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -282,15 +282,21 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
     """
     bands = bands_for(threshold, rows, recall)
     docs = docs.where(docs["doc_id"].isNotNull())
+    spent: list[Durable] = []
+
+    def held(df: DataFrame) -> DataFrame:
+        spent.append(Durable(df))
+        return spent[-1].df
+
     own = Durable(signed(docs, words, bands, rows)).df
-    classes = Durable(
+    classes = held(
         own.groupBy("key").agg(
             F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("grams").alias("grams"), F.first("bands").alias("bands")
         )
-    ).df
+    )
     entries = classes.select("rep", "grams", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = Durable(entries.join(buckets, "bucket")).df
+    members = held(entries.join(buckets, "bucket"))
 
     small = members.where(F.col("n") <= SMALL)
     x, y = small.select("bucket", F.col("rep").alias("a"), F.col("grams").alias("a_grams")), small.select("bucket", F.col("rep").alias("b"), F.col("grams").alias("b_grams"))
@@ -298,37 +304,37 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
     pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
 
     large = members.where(F.col("n") > SMALL)
-    led = Durable(leaders(large)).df
+    led = held(leaders(large))
     groups_of = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("mass"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("mass") / CHUNK_GRAMS))
     part = F.pmod(F.xxhash64("rep"), parts)
-    chunks = Durable(led.join(groups_of, "leader").select("rep", F.xxhash64("leader", part).alias("chunk"))).df
+    chunks = held(led.join(groups_of, "leader").select("rep", F.xxhash64("leader", part).alias("chunk")))
     touched = large.select("bucket", "rep").join(chunks, "rep").select("bucket", "chunk").distinct()
-    met = Durable(
+    met = held(
         touched.select("bucket", F.col("chunk").alias("a"))
         .join(touched.select("bucket", F.col("chunk").alias("b")), "bucket")
         .where("a <= b")
         .select("a", "b")
         .distinct()
-    ).df
+    )
     first, second = chunks.select(F.col("rep").alias("a"), F.col("chunk").alias("p")), chunks.select(F.col("rep").alias("b"), F.col("chunk").alias("q"))
     placed = pairs.join(first, "a", "left").join(second, "b", "left")
     compared = met.select(F.col("a").alias("p"), F.col("b").alias("q"))
     # A pair of which one has no chunk is compared by no task; least() alone would take it for the other's own chunk.
     both = F.col("p").isNotNull() & F.col("q").isNotNull()
     sides_of = {"p": F.when(both, F.least("p", "q")), "q": F.when(both, F.greatest("p", "q"))}
-    pairs = Durable(placed.withColumns(sides_of).join(compared, ["p", "q"], "left_anti").select("a", "b")).df
+    pairs = held(placed.withColumns(sides_of).join(compared, ["p", "q"], "left_anti").select("a", "b"))
 
     needed = chunks.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = classes.select("rep", "key", "weight").join(needed, "rep")
-    sets = Durable(sets_of(docs, wanted, words)).df
+    sets = held(sets_of(docs, wanted, words))
 
     sides = met.select("a", "b", F.col("a").alias("chunk"), F.lit(0).alias("side")).union(
         met.where("a < b").select("a", "b", F.col("b").alias("chunk"), F.lit(1).alias("side"))
     )
     grouped = sides.join(chunks, "chunk").join(sets, "rep").select("a", "b", "side", "rep", "weight", "grams")
-    in_chunks = Durable(grouped.groupBy("a", "b").applyInPandas(compare_chunks(threshold), _COMPARED)).df
-    in_pairs = Durable(_verified(pairs, sets, threshold)).df
+    in_chunks = held(grouped.groupBy("a", "b").applyInPandas(compare_chunks(threshold), _COMPARED))
+    in_pairs = held(_verified(pairs, sets, threshold))
 
     links = (
         in_chunks.select("rep", "links")
@@ -339,7 +345,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
     )
     edges = in_chunks.select(F.col("rep").alias("a"), F.col("parent").alias("b")).union(in_pairs.select("a", "b"))
     found = components(edges)
-    groups = (
+    groups = Durable(
         classes.select("key", "rep", "weight")
         .join(links, "rep", "left")
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -348,7 +354,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
             F.coalesce("component", "rep").alias("class_id"),
             (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         )
-    )
+    ).df
+    for table in spent:
+        table.drop()
     return own.select("doc_id", "key").join(groups, "key").select("doc_id", "class_id", "n_links")
 
 
