@@ -47,7 +47,8 @@ def formatted_turns(rows: DataFrame) -> DataFrame:
     """(conv_id, place, role, is_target, head, body, tail): the written form of each turn of (conv_id, turn, role, text).
 
     place counts a conversation's turns from 1 by (turn, role, text); repeated rows are turns of their own. A null text
-    is empty, a null role is written as an empty one; a null turn comes first.
+    is empty, a null role is written as an empty one; a null turn comes first; a null conv_id is a conversation. An empty
+    table gives no row. Other columns are ignored.
     """
     kept = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"),

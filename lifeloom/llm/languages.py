@@ -165,7 +165,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> DataFrame:
     """Rows of docs of which one language holds min_share of the text at least, with all their columns.
 
-    Texts without a letter go, as do those mixed of languages of which none holds so much. Rows of equal text stay or
-    go together; an empty table stays empty.
+    Texts without a letter go, as do those mixed of languages of which none holds so much; a model that has learned no
+    language judges nothing else. Rows of equal text stay or go together; an empty table stays empty.
     """
-    return kept_rows(docs, lambda texts: pd.Series([bool(m) and m[0][1] >= min_share for m in (mixture(model, t) for t in texts)], dtype=bool))
+
+    def known(text: str | None) -> bool:
+        if not model.languages:
+            return bool(text and _LETTER.search(text))
+        found = mixture(model, text)
+        return bool(found) and found[0][1] >= min_share
+
+    return kept_rows(docs, lambda texts: pd.Series([known(t) for t in texts], dtype=bool))

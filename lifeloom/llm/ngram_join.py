@@ -361,7 +361,11 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """docs without those rows whose class has a smaller doc_id; of repeated rows of the kept id, all stay."""
+    """docs without those rows whose class has a smaller doc_id, with all their columns.
+
+    Of repeated rows of the kept id, all stay; so do rows with a null id, which are in no class. Texts without words are
+    copies of equal texts only. An empty table stays empty.
+    """
     found = similar_documents(docs, **settings)
     gone = found.where("class_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -150,7 +150,8 @@ def pack_documents(
     Each partition can leave one window that isn't full.
 
     Null and empty texts are a document of the end id alone. Repeated rows, also of one doc_id, are documents of
-    their own. An empty table gives no row. Other columns are ignored.
+    their own. Which of equally long pieces shares a window is the task's choice. An empty table gives no row. Other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

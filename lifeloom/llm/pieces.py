@@ -362,7 +362,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Ids (little-endian uint32) of each text of docs (doc_id, text), the best path's score, and what they decode to.
 
     One pass without a shuffle. Null and empty texts have no ids and decode to the empty text. U+2581 in a text is
-    decoded to a space, as in every SentencePiece model. Repeated rows each give a row; an empty table gives none.
+    decoded to a space, as in every SentencePiece model. Of paths of equal score the one whose last piece starts first wins.
+    Repeated rows each give a row; an empty table gives none. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

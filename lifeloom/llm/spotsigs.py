@@ -147,7 +147,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     Signatures are computed once for each text and edited text and written to the shared folder; signatures, not texts,
     are then brought to the document before. Equal texts have equal fingerprints; a text without words has the empty
-    one. Null ids take no part. Empty tables give no row.
+    one. Null texts are empty, null ids take no part. Each row of a repeated doc_id gives a row; where all rows have one
+    id, it is its own next document. Empty tables give no row. Other columns are ignored.
     """
     signed = durable(
         with_signatures(with_edited(docs), {"own": "text", "changed": "edited"}).select(

@@ -134,7 +134,8 @@ def write_warc(pages: DataFrame, path: str, minimum: int = MIN_REVISIT) -> None:
     """Write a record for each row of pages (page_id, url, html) to archives under path.
 
     Null html is an empty payload, a null url becomes urn:page:<page_id>. Of repeated page_ids each row gives a
-    record; those with the largest page_id of a payload are all responses. An empty table gives no record.
+    record; those with the largest page_id of a payload are all responses. An empty table gives no record. Other columns
+    are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -65,6 +65,26 @@ def test_stage_keeps_what_plain_python_keeps(spark, sf_dir, stages, k):
     assert 0 < len(after) < len(ids_of(before)) or k == 1  # each text may have a language
 
 
+ODD = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (4, "the cat sat on the mat " * 20_000), (5, "###"), (None, "a lost text"), (9, "a b")]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stage_takes_odd_rows_and_empty_tables(spark, sf_dir, k):
+    rows = [(i, t, None, "s", 0, 1.0, "x", 2) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, key int")
+    stage = corpus_pipeline.STAGES[k][1]
+    got = stage(spark, docs, sf_dir)
+    if k < 3:
+        assert got.columns == docs.columns
+        kept = [r.doc_id for r in got.collect()]
+        # Without labels nothing is learned, and only texts without a letter go; copies go but for the rows of the least id.
+        assert sorted(kept, key=str) == [sorted((i for i, _ in ODD), key=str), [3, 3, 4, 9, None], [1, 3, 3, 4, 5, None]][k]
+    else:
+        pieces, encode = got.collect(), packing.ByteBPE()
+        assert {r.doc_id for r in pieces} == {i for i, _ in ODD} and sum(r.length for r in pieces) == sum(len(encode(t)) + 1 for _, t in ODD)
+    assert stage(spark, docs.where("false"), sf_dir).count() == 0
+
+
 def test_pipeline_packs_every_kept_document_once(spark, sf_dir, stages):
     out, texts = stages
     pieces = corpus_pipeline.run(spark, sf_dir).collect()

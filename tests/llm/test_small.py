@@ -415,6 +415,18 @@ def test_spotsigs_against_plain_python(spark):
         assert sets.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
+def test_spotsigs_where_all_rows_have_one_id(spark):
+    got = spotsigs.fingerprint_edits(docs(spark, [(7, "the cat sat on the mat"), (7, "a dog ran"), (None, "the")])).collect()
+    assert len(got) == 2 and {r.doc_id for r in got} == {7} and all(0 <= r.near_next <= 1 for r in got)
+    assert spotsigs.fingerprint_edits(docs(spark, ODD).where("false")).count() == 0
+
+
+def test_chat_of_no_rows(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, place int")
+    made = chat.formatted_turns(none)
+    assert chat.read_back(made, chat.examples(made)).count() == chat.render_examples(made).count() == 0
+
+
 def test_one_more_anchor_changes_few_signatures():
     words = [f"w{i}" for i in range(60)]
     text = plain_signatures(" ".join(words))
