@@ -14,17 +14,17 @@ from lifeloom.llm.queries import packed_digest
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half; null, empty and letterless ones are not toxic."""
     return toxicity.keep_ordinary(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found: `und` ones go."""
+    """Documents of which one language holds half at least: letterless and evenly mixed ones go."""
     return languages.keep_known(docs, languages.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near-duplicates."""
+    """One document, that with the least doc_id, of each group of near-duplicates; rows with a null id stay."""
     return ngram_join.keep_one_of_each(docs)
 
 
