@@ -12,7 +12,7 @@ from lifeloom.session import cut_lineage
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(column, n, share), nulls counted too."""
     n = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return n.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("all")))).select(column, "n", (F.col("n") / F.col("all")).alias("share"))  # one row
 
 
 def creator_deleter_matrix(rows: DataFrame) -> DataFrame:

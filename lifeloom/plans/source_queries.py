@@ -42,7 +42,7 @@ def _dump(spark: SparkSession, sf: str, path: str) -> None:
     page = F.concat(F.lit("<page><title>Q"), F.col("user_id").cast("string"), F.lit("</title>"), F.array_join(F.transform("r", lambda r: r["x"]), ""), F.lit("</page>"))
     # A file is one document, so a row is one file: some of the pages each.
     files = pages.select(page.alias("page"), (F.xxhash64("user_id") % 4).alias("file")).groupBy("file").agg(F.array_join(F.collect_list("page"), "\n").alias("pages"))
-    whole = F.concat(F.lit('<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">'), "pages", F.lit("</mediawiki>"))
+    whole = F.concat(F.lit("<dump>"), "pages", F.lit("</dump>"))
     files.select(whole.alias("value")).write.options(compression="bzip2", maxRecordsPerFile="1").text(path)
 
 
