@@ -248,13 +248,16 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, block: i
     # Candidate blocks stay where they are: bounded rounds of query blocks are sent to them, those with like reach together.
     # No vector of a candidate block can reach a floor unless its longest one is as long as the least floor / |q|.
     reach = Durable(ready).df
-    head = stored.agg(F.min("block")).first()[0]
+    head, blocks = stored.agg(F.min("block"), F.count(F.lit(1))).first()
     sides = stored.where(F.col("block") != F.lit(head if head is not None else -1))
     sides = sides.select(F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors"), F.col("width").alias("x_width"), (F.col("longest") * (1 + 1e-9) + 1e-6).alias("x_reach"))
+    # Few blocks lie in few files, which a scan would put into one task: they are dealt out, a block a task.
+    if 1 < blocks <= 4 * stored.sparkSession.sparkContext.defaultParallelism:
+        sides = sides.repartition(blocks)
     size = F.octet_length("vectors") + F.octet_length("ids") + F.octet_length("floors")
     found = first
-    for blocks, least in rounds_of(reach.select("block", "reach", size.alias("size")).orderBy("reach", "block").collect()):  # a row a query block
-        sent = F.broadcast(reach.where(F.col("block").isin(blocks)))
+    for numbers, least in rounds_of(reach.select("block", "reach", size.alias("size")).orderBy("reach", "block").collect()):  # a row a query block
+        sent = F.broadcast(reach.where(F.col("block").isin(numbers)))
         met = sides.where(F.col("x_reach") >= least).join(sent, F.col("x_reach") >= F.col("reach"))
         found = found.unionByName(Durable(met.select("ids", "vectors", "width", "floors", "x_ids", "x_vectors", "x_width").mapInPandas(against, hit)).df)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
