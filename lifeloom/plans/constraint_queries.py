@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lifeloom.operators import constraints as C
 from lifeloom.plans import projections as P
 from lifeloom.plans.catalogue import query
-from lifeloom.session import shared_folder
+from lifeloom.session import scratch_folder
 
 _K, _SQ = "CAST(k AS STRING)", "'wds:' || CAST(k AS STRING)"
 _TYPES = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(C.KINDS.values()))
@@ -85,7 +83,7 @@ def constraint_entries(spark: SparkSession, sf: str) -> DataFrame:
 def constraint_documents_read_back(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of all kinds by way of their simplified documents: written to the shared folder and loaded."""
     found, out = C.entries(*_parts(spark, sf)), None
-    root = f"{shared_folder(spark)}/lifeloom/simplified-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "simplified")
     for kind in C.KINDS:
         C.write_simplified(found, kind, f"{root}/{kind}")
         own = C.load_simplified(spark, f"{root}/{kind}", kind, lines=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from lifeloom.operators import sweeps
 from lifeloom.plans import projections as P
 from lifeloom.plans import specialist_queries as Q
 from lifeloom.plans.catalogue import oracle_text, query
-from lifeloom.session import shared_folder
+from lifeloom.session import scratch_folder
 
 rounded = Q.rounded
 
@@ -248,7 +246,7 @@ def user_factors(spark: SparkSession, sf: str) -> DataFrame:
     """Length of each user's row in five dimensions, and its cluster by a model that was saved and loaded."""
     found, _ = factors.factors(P.user_properties(spark, sf), 5)
     _, model = factors.clusters(found, 4)
-    path = f"{shared_folder(spark)}/lifeloom/model-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "model")
     factors.save_model(model, path)
     placed = factors.load_model(path).transform(found)
     length = F.sqrt(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda t, x: t + x * x))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from lifeloom.operators import classes
 from lifeloom.plans import history_queries as H
 from lifeloom.plans import projections as P
 from lifeloom.plans.catalogue import query
-from lifeloom.session import shared_folder
+from lifeloom.session import scratch_folder
 from lifeloom.sources import dumps, tables
 from lifeloom.streaming.lifecycle_stream import close_lifecycles
 from lifeloom.streaming.resumable import count_new_files
@@ -21,10 +19,6 @@ from lifeloom.streaming.resumable import count_new_files
 _ISO, _ISO_SQL = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "%Y-%m-%dT%H:%M:%S.%fZ"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lifeloom/{name}-{uuid.uuid4().hex}"
-
-
 def _dump(spark: SparkSession, sf: str, path: str) -> None:
     """Events as a dump: a page for each user, a revision for each event, an unreadable one after each."""
     e = P.table(spark, sf, "events")
@@ -53,7 +47,7 @@ def _dump(spark: SparkSession, sf: str, path: str) -> None:
 )
 def dump_lifecycles(spark: SparkSession, sf: str) -> DataFrame:
     """Direct values and statement values of a written dump."""
-    path = folder(spark, "dump")
+    path = scratch_folder(spark, "dump")
     _dump(spark, sf, path)
     return dumps.read_lifecycles(spark, path).where(F.col("p").rlike("^(wdt|ps):"))
 
@@ -64,7 +58,7 @@ _ODD = "'\"a\\b, ' || o || chr(10) || '\"\"'"
 @query("csv_read_back", f"WITH {P.LC} SELECT s, p, {_ODD} AS o, cdate, cuser, ddate, duser FROM lc")
 def csv_read_back(spark: SparkSession, sf: str) -> DataFrame:
     """Lifecycles whose objects hold quotes, backslashes, commas and line ends, by way of CSV."""
-    path = folder(spark, "csv")
+    path = scratch_folder(spark, "csv")
     lc = P.lifecycles(spark, sf).withColumn("o", F.concat(F.lit('"a\\b, '), "o", F.lit('\n""')))
     tables.write_csv(lc.select("s", "p", "o", "cdate", "cuser", "ddate", "duser"), path, order=["s", "p"])
     back = tables.read_lifecycle_csv(spark, path)
@@ -74,7 +68,7 @@ def csv_read_back(spark: SparkSession, sf: str) -> DataFrame:
 @query("tsv_normalised", "SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS nation FROM nation")
 def tsv_normalised(spark: SparkSession, sf: str) -> DataFrame:
     """Tab-separated cells with blanks around them under headers in upper case, trimmed on reading."""
-    path = folder(spark, "tsv")
+    path = scratch_folder(spark, "tsv")
     n = P.table(spark, sf, "nation")
     tables.write_csv(n.select(F.concat(F.lit(" "), "n_name", F.lit("  ")).alias(" NAME "), F.col("n_nationkey").alias("Nation")), path, sep="\t")
     return tables.read_csv(spark, path, sep="\t", normalise=True, single_lines=True)
@@ -82,7 +76,7 @@ def tsv_normalised(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subjects_per_file", f"WITH {P.LC} SELECT count(*) AS n_rows, count(DISTINCT s) AS n_subjects FROM lc")
 def subjects_per_file(spark: SparkSession, sf: str) -> DataFrame:
-    path = folder(spark, "files")
+    path = scratch_folder(spark, "files")
     tables.write_csv(P.lifecycles(spark, sf).select("s", "p", "o", "cdate", "cuser", "ddate", "duser").coalesce(1), path)
     found = tables.read_lifecycle_csv(spark, tables.first_file(spark, path), with_source=True)
     return tables.subjects(found).select("n_rows", "n_subjects")
@@ -91,14 +85,14 @@ def subjects_per_file(spark: SparkSession, sf: str) -> DataFrame:
 @query("subject_lookup", f"WITH {P.LC} SELECT s, p, o, cdate, cuser, ddate, duser FROM lc WHERE s IN (SELECT s FROM lc WHERE o = 'wd:B2')")
 def subject_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the subjects that ever were in one band, from files in ranges of subjects."""
-    path, lc = folder(spark, "ranges"), P.lifecycles(spark, sf)
+    path, lc = scratch_folder(spark, "ranges"), P.lifecycles(spark, sf)
     tables.write_by_subject(lc, path)
     return tables.lookup(spark, path, lc.where("o = 'wd:B2'")).select("s", "p", "o", "cdate", "cuser", "ddate", "duser")
 
 
 @query("class_documents_read_back", f"""WITH {P.CLS} SELECT class, CAST("user" AS VARCHAR) AS "user", strftime(cdate, '{_ISO_SQL}') AS cdate, strftime(ddate, '{_ISO_SQL}') AS ddate, n AS "count" FROM cec""")
 def class_documents_read_back(spark: SparkSession, sf: str) -> DataFrame:
-    path = folder(spark, "documents")
+    path = scratch_folder(spark, "documents")
     counts = H.class_edit_counts_interval(spark, sf)
     text = counts.withColumns({"user": F.col("user").cast("string"), "cdate": F.date_format("cdate", _ISO), "ddate": F.date_format("ddate", _ISO)})
     classes.class_documents(text).write.json(path)
@@ -108,7 +102,7 @@ def class_documents_read_back(spark: SparkSession, sf: str) -> DataFrame:
 @query("split_sink", f"WITH {P.LC} SELECT p, o, count(*) AS n FROM lc GROUP BY ALL")
 def split_sink(spark: SparkSession, sf: str) -> DataFrame:
     """A folder for each property; a second, different write of the same name is ignored."""
-    path, once = folder(spark, "split"), folder(spark, "once")
+    path, once = scratch_folder(spark, "split"), scratch_folder(spark, "once")
     tables.write_split(P.lifecycles(spark, sf), path, "p")
     tables.write_once(spark.read.parquet(path), once)
     tables.write_once(spark.read.parquet(path).limit(0), once)
@@ -118,7 +112,7 @@ def split_sink(spark: SparkSession, sf: str) -> DataFrame:
 @query("listed_bots", "SELECT DISTINCT s_name AS \"user\", false AS is_ip, s_acctbal < 0 AS is_bot FROM supplier")
 def listed_bots(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers that owe, as a JSON list of names."""
-    path, s = folder(spark, "names"), P.table(spark, sf, "supplier")
+    path, s = scratch_folder(spark, "names"), P.table(spark, sf, "supplier")
     s.where("s_acctbal < 0").agg(F.to_json(F.collect_list("s_name")).alias("value")).write.text(path)
     return with_flags(s.select(F.col("s_name").alias("user")), tables.read_names(spark, path))
 
@@ -126,7 +120,7 @@ def listed_bots(spark: SparkSession, sf: str) -> DataFrame:
 @query("labelled_types", "SELECT 'wd:Q' || CAST(n_nationkey AS VARCHAR) AS type, n_name, coalesce(r_name, 'wd:Q' || CAST(n_nationkey AS VARCHAR)) AS label FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
 def labelled_types(spark: SparkSession, sf: str) -> DataFrame:
     """Labels from a JSON list of types; a type that isn't listed is its own label."""
-    path, r = folder(spark, "types"), P.table(spark, sf, "region")
+    path, r = scratch_folder(spark, "types"), P.table(spark, sf, "region")
     r.select(F.concat(F.lit("http://example.org/entity/Q"), F.col("r_regionkey").cast("string")).alias("cid"), F.col("r_name").alias("cidLabel")).write.json(path)
     listed = spark.read.schema("cid string, cidLabel string").json(path).agg(F.to_json(F.collect_list(F.struct("cid", "cidLabel"))).alias("value"))
     listed.write.text(f"{path}-list")
@@ -137,7 +131,7 @@ def labelled_types(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("compressed_lines", "SELECT k AS kind, n_name AS line FROM nation, (VALUES ('bz2'), ('gz'), ('txt')) AS x(k)")
 def compressed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    path, n = folder(spark, "lines"), P.table(spark, sf, "nation").select("n_name")
+    path, n = scratch_folder(spark, "lines"), P.table(spark, sf, "nation").select("n_name")
     for codec in ("gzip", "bzip2", "none"):
         n.write.mode("append").option("compression", codec).text(path)
     found = tables.read_compressed_text(spark, path)
@@ -150,7 +144,7 @@ def compressed_lines(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bad_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that fit a schema, and the text of those that don't."""
-    path, s = folder(spark, "bad"), P.table(spark, sf, "supplier")
+    path, s = scratch_folder(spark, "bad"), P.table(spark, sf, "supplier")
     value = F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal").cast("string")).otherwise("none")
     tables.write_csv(s.select(F.col("s_suppkey").alias("k"), value.alias("v")), path)
     good, bad = tables.split_bad_rows(spark, path, "k long, v double")
@@ -161,7 +155,7 @@ def bad_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("corrections_source", "SELECT 'c' || CAST(n_regionkey AS VARCHAR) AS constraint_id, 'wd:' || n_name AS s, 'wdt:P1' AS p, n_name AS o, 25 AS ids FROM nation")
 def corrections_source(spark: SparkSession, sf: str) -> DataFrame:
     """Corrections read with row ids, and how many different ids there are."""
-    path, n = folder(spark, "corrections"), P.table(spark, sf, "nation")
+    path, n = scratch_folder(spark, "corrections"), P.table(spark, sf, "nation")
     tables.write_csv(n.select(F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("constraint_id"), F.concat(F.lit("wd:"), "n_name").alias("s"), F.lit("wdt:P1").alias("p"), F.col("n_name").alias("o")), path)
     read = tables.read_corrections(spark, path)
     return read.drop("row_id").crossJoin(F.broadcast(read.agg(F.countDistinct("row_id").cast("int").alias("ids"))))  # one row
@@ -170,7 +164,7 @@ def corrections_source(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_lifecycles", f"WITH {P.LC} SELECT s AS page, p, o, cdate, cuser, ddate, duser FROM lc WHERE ddate IS NOT NULL")
 def stream_lifecycles(spark: SparkSession, sf: str) -> DataFrame:
     """Lifecycles that a stream over the revisions closes."""
-    path, (revisions, triples) = folder(spark, "stream"), P.revisions(spark, sf)
+    path, (revisions, triples) = scratch_folder(spark, "stream"), P.revisions(spark, sf)
     held = triples.groupBy("page", "ord").agg(F.array_sort(F.collect_list(F.struct("p", "o"))).alias("triples"))
     rows = revisions.join(held, ["page", "ord"]).select("page", F.unix_micros(F.col("ts").cast("timestamp")).alias("ord"), F.col("ts").cast("timestamp").alias("ts"), "user", "triples")
     rows.write.parquet(f"{path}/in")
@@ -183,7 +177,7 @@ def stream_lifecycles(spark: SparkSession, sf: str) -> DataFrame:
 @query("resumed_counts", f'WITH {P.UPC} SELECT "user", property, n AS "count" FROM upc')
 def resumed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts over files of which some come after the first run."""
-    path, l = folder(spark, "resumed"), P.table(spark, sf, "lineitem")
+    path, l = scratch_folder(spark, "resumed"), P.table(spark, sf, "lineitem")
     o, p = P.table(spark, sf, "orders"), P.table(spark, sf, "part")
     met = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     rows = met.select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user"), F.col("p_brand").alias("property"), "l_returnflag")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +46,33 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[tuple] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the program ends."""
+    path = f"{shared_folder(spark)}/lifeloom/{name}-{uuid.uuid4().hex}"
+    _made.append((weakref.ref(spark), path))
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [m for m in _made if m[1] != path]
+
+
+@atexit.register
+def _clean() -> None:
+    for ref, path in list(_made):
+        spark = ref()
+        try:
+            if spark is not None and spark.sparkContext._jsc is not None:
+                delete_folder(spark, path)
+        except Exception:  # the session has ended; its folder goes with it
+            return
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df checkpointed to the shared folder."""
     shared_folder(df.sparkSession)
