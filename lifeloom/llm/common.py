@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-import weakref
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeloom.session import shared_folder
+from lifeloom.session import delete_folder, scratch_folder
 
 #: A-Z become a-z; every other ASCII character that is no digit or letter becomes a space.
 WORD_TABLE = bytes(
@@ -31,40 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: list[tuple] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for ref, path in _written:
-        spark = ref()
-        try:
-            if spark is not None and spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session has ended; its folder goes with it
-            return
-
-
 class Durable:
     """A DataFrame written once to the shared folder and read from there: short lineage that outlives lost executors."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/lifeloom/{uuid.uuid4().hex}"
+        self.path = scratch_folder(self.spark, "table")
         df.write.parquet(self.path)
-        _written.append((weakref.ref(self.spark), self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only once nothing reads them any more."""
-        _delete(self.spark, self.path)
-        _written[:] = [w for w in _written if w[1] != self.path]
+        delete_folder(self.spark, self.path)
 
 
 def durable(df: DataFrame) -> DataFrame:

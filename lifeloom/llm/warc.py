@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifeloom.session import shared_folder
+from lifeloom.session import scratch_folder
 
 #: Payloads from this length on are stored once; records with the same payload revisit it.
 MIN_REVISIT = 1000
@@ -275,4 +275,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/lifeloom/warc-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "warc")
