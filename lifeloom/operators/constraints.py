@@ -67,11 +67,12 @@ def active_intervals(types: DataFrame, links: DataFrame, ranks: DataFrame) -> Da
     preferred.
     """
     keys, whole = ["prop", "kind", "statement"], ["prop", "kind"]
-    # Each step reads the one before it more than once: cut, or the plan grows with every step.
-    ranks = cut_lineage(ranks)
-    base = cut_lineage(intersect(types.select(*keys, "start", "end"), links.select(*keys, "start", "end"), keys))
-    normal = cut_lineage(intersect(base, ranks.where(F.col("rank") == NORMAL).select(*keys, "start", "end"), keys))
-    preferred = cut_lineage(intersect(base, ranks.where(F.col("rank") == PREFERRED).select(*keys, "start", "end"), keys))
+    base = intersect(types.select(*keys, "start", "end"), links.select(*keys, "start", "end"), keys)
+    ranked = [*keys, "rank"]
+    own = ranks.where(F.col("rank").isin(NORMAL, PREFERRED)).select(*ranked, "start", "end")
+    # Both ranks at once; what follows reads it more than once, so it is written.
+    held = cut_lineage(intersect(own.select(*ranked).distinct().join(base, keys).select(*ranked, "start", "end"), own, ranked))
+    normal, preferred = (held.where(F.col("rank") == rank).drop("rank") for rank in (NORMAL, PREFERRED))
     reigning = merge(preferred.select(*whole, "start", "end"), whole)
     # What any statement of the property takes away, it takes from each of them.
     taken = normal.select(*keys).distinct().join(reigning, whole).select(*keys, "start", "end")
@@ -129,22 +130,23 @@ def raw_documents(types: DataFrame, links: DataFrame, ranks: DataFrame, qualifie
     return met.groupBy("prop", "kind").agg(F.sort_array(F.collect_list(F.struct("statement", "types", "links", "ranks", "qualifiers"))).alias("statements"))
 
 
-def active_qualifiers(active: DataFrame, qualifiers: DataFrame, qualifier: str) -> DataFrame:
-    """(prop, kind, statement, value, start, end) of one qualifier while its statement is in force."""
-    keys = ["prop", "kind", "statement", "value"]
-    own = qualifiers.where(F.col("qualifier") == qualifier).select(*keys, "start", "end")
+def held_qualifiers(active: DataFrame, qualifiers: DataFrame) -> DataFrame:
+    """(prop, kind, statement, qualifier, value, start, end) of qualifiers while their statement is in force."""
+    keys = ["prop", "kind", "statement", "qualifier", "value"]
+    own = qualifiers.select(*keys, "start", "end")
     held = own.select(*keys).distinct().join(active, ["prop", "kind", "statement"]).select(*keys, "start", "end")
-    return cut_lineage(intersect(own, held, keys))
+    return intersect(own, held, keys)
 
 
-def property_value_pairs(active: DataFrame, qualifiers: DataFrame) -> DataFrame:
-    """(prop, kind, statement, pq2306, pq2305, start, end): property and value while both hold, and the property alone
-    (null value) during what is left of its time."""
+def active_qualifiers(active: DataFrame, qualifiers: DataFrame, qualifier: str) -> DataFrame:
+    """The same of one qualifier, (prop, kind, statement, value, start, end)."""
+    return held_qualifiers(active, qualifiers.where(F.col("qualifier") == qualifier)).drop("qualifier")
+
+
+def _pairs(props: DataFrame, values: DataFrame) -> DataFrame:
     keys = ["prop", "kind", "statement"]
-    props = active_qualifiers(active, qualifiers, PROPERTY).withColumnRenamed("value", "pq2306")
-    values = active_qualifiers(active, qualifiers, VALUE).withColumnRenamed("value", "pq2305")
-    v = values.withColumnsRenamed({"start": "v_start", "end": "v_end"})
-    met = props.join(v, keys)
+    props, values = props.withColumnRenamed("value", "pq2306"), values.withColumnRenamed("value", "pq2305")
+    met = props.join(values.withColumnsRenamed({"start": "v_start", "end": "v_end"}), keys)
     start, end = F.greatest("start", "v_start"), F.least("end", "v_end")
     pairs = met.select(*keys, "pq2306", "pq2305", start.alias("start"), end.alias("end")).where("end is null or start < end")
     own = [*keys, "pq2306"]
@@ -152,6 +154,12 @@ def property_value_pairs(active: DataFrame, qualifiers: DataFrame) -> DataFrame:
     return pairs.unionByName(alone.withColumn("pq2305", F.lit(None).cast("string")))
 
 
+def property_value_pairs(active: DataFrame, qualifiers: DataFrame) -> DataFrame:
+    """(prop, kind, statement, pq2306, pq2305, start, end): property and value while both hold, and the property alone
+    (null value) during what is left of its time."""
+    return _pairs(active_qualifiers(active, qualifiers, PROPERTY), active_qualifiers(active, qualifiers, VALUE))
+
+
 def entries(types: DataFrame, links: DataFrame, ranks: DataFrame, qualifiers: DataFrame) -> DataFrame:
     """All kinds' entries and exceptions in one table: (prop, kind, role, pq2306, pq2305, entity, start, end, constraint_id)."""
     active = active_intervals(types, links, ranks)
@@ -164,13 +172,14 @@ def entries(types: DataFrame, links: DataFrame, ranks: DataFrame, qualifiers: Da
     def of(form: str):
         return F.col("kind").isin(*(k for k, v in EXPORTS.items() if v == form))
 
-    value, prop = active_qualifiers(active, qualifiers, VALUE), active_qualifiers(active, qualifiers, PROPERTY)
-    pairs = property_value_pairs(active, qualifiers).where(of("pairs"))
+    held = cut_lineage(held_qualifiers(active, qualifiers.where(F.col("qualifier").isin(VALUE, PROPERTY, EXCEPTION))))
+    value, prop, excepted = (held.where(F.col("qualifier") == q).drop("qualifier") for q in (VALUE, PROPERTY, EXCEPTION))
+    pairs = _pairs(prop.where(of("pairs")), value.where(of("pairs")))
     out = made(value.where(of("values")), "entry", entity=F.col("value"))
     out = out.unionByName(made(prop.where(of("properties")), "entry", pq2306=F.col("value")))
     out = out.unionByName(made(active.where(of("active")), "entry"))
     out = out.unionByName(made(pairs, "entry", pq2306=F.col("pq2306"), pq2305=F.col("pq2305")))
-    return out.unionByName(made(active_qualifiers(active, qualifiers, EXCEPTION), "exception", entity=F.col("value")))
+    return out.unionByName(made(excepted, "exception", entity=F.col("value")))
 
 
 #: The list that holds a kind's entries in a simplified document.

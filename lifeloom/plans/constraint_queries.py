@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lifeloom.operators import constraints as C
 from lifeloom.plans import projections as P
 from lifeloom.plans.catalogue import query
-from lifeloom.session import scratch_folder
+from lifeloom.session import cut_lineage, scratch_folder
 
 _K, _SQ = "CAST(k AS STRING)", "'wds:' || CAST(k AS STRING)"
 _TYPES = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(C.KINDS.values()))
@@ -82,7 +82,7 @@ def constraint_entries(spark: SparkSession, sf: str) -> DataFrame:
 @query("constraint_documents_read_back", f"WITH {_SQL} {_ENTRIES}")
 def constraint_documents_read_back(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of all kinds by way of their simplified documents: written to the shared folder and loaded."""
-    found, out = C.entries(*_parts(spark, sf)), None
+    found, out = cut_lineage(C.entries(*_parts(spark, sf))), None
     root = scratch_folder(spark, "simplified")
     for kind in C.KINDS:
         C.write_simplified(found, kind, f"{root}/{kind}")
