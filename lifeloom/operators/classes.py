@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +26,49 @@ def open_intervals(membership: DataFrame, deletions: DataFrame) -> DataFrame:
     """(item, class, cdate, ord, ddate) of the times in which an item has a class, from assertions and deletions.
 
     membership: (item, class, t, ord). deletions: (item, class, t). Read in order of (t, ord), an assertion opens the
-    class, unless it is open, until its first unused deletion at or after it. One item's rows about one class are held
-    at once.
+    class, unless it is open, until its first unused deletion at or after it. Each task reads its rows in order once and
+    holds what is open, so an item with very many rows takes no memory. Rows without an item, class or time are left out.
     """
-
-    def read(asserted: pd.DataFrame, deleted: pd.DataFrame) -> pd.DataFrame:
-        ends = iter(sorted(deleted["t"]))
-        out, end = [], pd.Timestamp.min
-        rows = asserted.sort_values(["t", "ord"])
-        for item, kind, t, place in zip(rows["item"], rows["class"], rows["t"], rows["ord"], strict=True):
-            if end is not None and t >= end:
-                end = next((e for e in ends if e >= t), None)
-                out.append((item, kind, t, place, end))
-        return pd.DataFrame(out, columns=["item", "class", "cdate", "ord", "ddate"])
-
-    own = membership.select("item", "class", "t", "ord")
-    item = dict(own.dtypes)["item"]
-    groups = own.groupBy("item", "class").cogroup(deletions.select("item", "class", "t").groupBy("item", "class"))
-    return groups.applyInPandas(read, f"item {item}, class string, cdate timestamp_ntz, ord long, ddate timestamp_ntz")
+    micros = F.unix_micros(F.col("t").cast("timestamp")).alias("t")
+    asserted = membership.select("item", "class", micros, F.lit(1).alias("kind"), F.col("ord").cast("long").alias("ord"))
+    rows = asserted.unionByName(deletions.select("item", "class", micros, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ord")))
+    rows = rows.where("item is not null and class is not null and t is not null")
+    item = dict(rows.dtypes)["item"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who = opened = now = None
+        unused, out = 0, []
+        for b in batches:
+            for thing, name, t, kind, place in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (thing, name) != who:
+                    if opened:
+                        out.append((*who, *opened, None))
+                    who, opened, now, unused = (thing, name), None, None, 0
+                if t != now:
+                    now, unused = t, 0
+                if kind and not opened:
+                    opened = (t, place)
+                    if unused:  # a deletion of the same time, read before
+                        unused -= 1
+                        out.append((*who, *opened, t))
+                        opened = None
+                elif not kind and opened:
+                    out.append((*who, *opened, t))
+                    opened = None
+                elif not kind:
+                    unused += 1
+            yield made(out, b.schema)
+            out = []
+        if opened:
+            yield made([(*who, *opened, None)], b.schema)
+
+    def made(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        kinds = (schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["item", "class", "cdate", "ord", "ddate"])
+
+    ordered = rows.repartition("item", "class").sortWithinPartitions("item", "class", "t", "kind", "ord")
+    found = ordered.mapInArrow(read, f"item {item}, class string, cdate long, ord long, ddate long")
+    return found.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("cdate", "ddate")})
 
 
 def class_edit_counts_by_scan(edits: DataFrame, membership: DataFrame, deletions: DataFrame) -> DataFrame:
