@@ -26,7 +26,8 @@ GOOD = {
 
 #: A correction is judged once at each level: against all entries of its property, and against those of its own constraint.
 LEVELS = ("property", "constraint")
-ROW = ["row_id", "level"]
+#: A number for each row and level, in place of what may be long texts.
+ROW = ["rid"]
 
 
 def _prepared(corrections: DataFrame, entries: DataFrame, as_of: str | None) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +36,7 @@ def _prepared(corrections: DataFrame, entries: DataFrame, as_of: str | None) ->
     rows = corrections.select(
         "row_id", F.explode(F.array(*map(F.lit, LEVELS))).alias("level"), "constraint_id", F.trim("s").alias("s"), F.trim("o").alias("o"), "match_status",
         wdt_to_wd(F.col("p")).alias("prop"), F.trim("p").alias("p"), F.col("cdate").cast("timestamp_ntz").alias("a"), F.coalesce(F.col("ddate").cast("timestamp_ntz"), end).alias("b"),
-    )
+    ).withColumn("rid", F.monotonically_increasing_id())
     e = entries.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.coalesce(F.col("end").cast("timestamp_ntz"), end)})
     return rows, e.where("start is not null and start < end").withColumnRenamed("constraint_id", "cid")
 
@@ -62,9 +63,9 @@ def _cut(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _exempt(rows: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """(row_id, level, start, end) in which the row's subject is excepted."""
+    """(rid, start, end) in which the row's subject is excepted."""
     own = exceptions.where("entity is not null").withColumnRenamed("entity", "s")
-    met = rows.select(*ROW, "prop", "s", "constraint_id", "a", "b").join(own, ["prop", "s"]).where(_at_level())
+    met = rows.select(*ROW, "level", "prop", "s", "constraint_id", "a", "b").join(own, ["prop", "s"]).where(_at_level())
     start, end = F.greatest("a", "start"), F.least("b", "end")
     return met.select(*ROW, start.alias("start"), end.alias("end")).where("start < end")
 
@@ -95,7 +96,7 @@ def _status(rows: DataFrame, cut: DataFrame, left: DataFrame, broken: DataFrame,
         .when(F.col("bad"), "historical_violation")
         .otherwise(good)
     )
-    return rows.join(seen, ROW, "left").select(*ROW, status.alias("status"))
+    return rows.join(seen, ROW, "left").select("row_id", "level", status.alias("status"))
 
 
 def _witnesses(lifecycles: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def _one_of(rows: DataFrame, listed: DataFrame, forbidden: bool) -> DataFrame:
         .when(F.col("excepted"), "not_violation_exception")
         .otherwise("not_violation_object_allowed")
     )
-    return _with_presence(rows, listed).join(seen, ROW, "left").select(*ROW, status.alias("status"))
+    return _with_presence(rows, listed).join(seen, ROW, "left").select("row_id", "level", status.alias("status"))
 
 
 def _broken(kind: str, left: DataFrame, lifecycles: DataFrame, strict_any_value: bool) -> DataFrame:
@@ -189,7 +190,7 @@ def validate(
     """
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
-    rows, listed = (cut_lineage(x) for x in _prepared(corrections, entries, as_of))
+    rows, listed = (cut_lineage(x) for x in _prepared(corrections, entries, as_of))  # once written, numbers stay
     if lifecycles is not None and kind not in ("one_of", "none_of"):
         # Only lifecycles of properties that some entry asks for can witness anything.
         asked = rows.select("p") if kind == "symmetric" else listed.where("role = 'entry'").select(wd_to_wdt(F.col("pq2306")).alias("p"))
