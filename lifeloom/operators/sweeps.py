@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lifeloom.operators.specialists import average_rank, portfolio
+from lifeloom.session import cut_lineage
 
 GRID = ("min_prop_edits", "min_user_edits", "min_share", "min_focus")
 
@@ -40,7 +41,8 @@ def set_similarity(a: DataFrame, b: DataFrame, keys: list[str], member: str) ->
 
 def sensitivity(led: DataFrame, runs: DataFrame, baseline_run: int = 0) -> DataFrame:
     """A row for each run: owned pairs, specialists of one property and of several, medians, Jaccard to the baseline run."""
-    owned = owned_by_run(led, runs)
+    # Leaders, one for each property, are read for every figure below: written once.
+    owned = owned_by_run(cut_lineage(led), runs)
     people = portfolio(owned, keys=("run",)).withColumn("single", F.col("n_owned_properties") == 1)
     pairs = owned.groupBy("run").agg(F.count(F.lit(1)).alias("n_owned_pairs"))
     found = people.groupBy("run").agg(
