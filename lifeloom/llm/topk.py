@@ -160,8 +160,12 @@ def search(
             low = np.sort(_exact(q[i], x[first]))[-k]
             at = at[bound[i, at] >= float(low)]
         scores = _exact(q[i], x[at])
-        best = sorted(zip(scores.tolist(), x_ids[at].tolist(), strict=True), key=lambda p: (-p[0], p[1]))[:k]
-        for s, v in best:
+        if len(at) > k:  # all that tie with the k-th stay
+            top = scores >= np.partition(scores, -k)[-k]
+            at, scores = at[top], scores[top]
+        ids = x_ids[at]
+        best = np.lexsort((ids, ~scores))[:k]  # ~s falls as s grows, for any s of 64 bits
+        for s, v in zip(scores[best].tolist(), ids[best].tolist(), strict=True):
             if s >= floor[i]:
                 yield own, v, s
 
