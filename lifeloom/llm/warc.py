@@ -7,8 +7,9 @@ the first segment keeps the record's type and id, the others are `continuation`
 and ascending WARC-Segment-Number, the last one with WARC-Segment-Total-Length.
 
 Reading parses the archives by Content-Length as it decompresses them (an archive may be one gzip member, as those written
-here, or have one for each record), groups the segments of a record by their origin, orders them by
-segment number, verifies the total length, decodes the chunks and compares the payload with its digest.
+here, or have one for each record), puts the segments of a record together where they follow one another in an archive, else
+groups them by their origin and orders them by segment number, verifies the total length, decodes the chunks and compares the
+payload with its digest.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
-from typing import BinaryIO
+from itertools import groupby
+from typing import BinaryIO, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -176,52 +178,87 @@ def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+class Segment(NamedTuple):
+    """A record of an archive; origin is its own id, or for a continuation record that of the record it continues."""
+
+    origin: str
+    segment: int
+    total: int | None
+    record_type: str | None
+    page_id: int | None
+    url: str | None
+    digest: str | None
+    refers_to: str | None
+    refers_to_page: int | None
+    last: bool
+    block: bytes
+
+
 _SEGMENTS = (
     "origin string, segment int, total long, record_type string, page_id long, url string, digest string, "
     "refers_to string, refers_to_page long, last boolean, block binary"
 )
+#: Columns that the first segment has for its whole record.
+_FIELDS = ("record_type", "page_id", "url", "digest", "refers_to", "refers_to_page")
+_RECORDS = (
+    "record_id string, record_type string, page_id long, url string, digest string, refers_to string, "
+    "refers_to_page long, payload binary"
+)
+
+
+def segments_of(data: bytes) -> Iterator[Segment]:
+    """The records of an archive, compressed or not, in its order."""
+    held = io.BytesIO(data)
+    for h, block in parse(gzip.GzipFile(fileobj=held) if data[:2] == b"\x1f\x8b" else held):
+        page, to = h.get("page-id"), h.get("refers-to-page-id")
+        yield Segment(
+            h.get("warc-segment-origin-id", h.get("warc-record-id")),
+            int(h.get("warc-segment-number", 1)),
+            int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
+            h.get("warc-type"),
+            int(page) if page else None,
+            h.get("warc-target-uri"),
+            h.get("warc-payload-digest"),
+            h.get("warc-refers-to"),
+            int(to) if to else None,
+            "warc-segment-number" not in h,
+            block,
+        )
+
+
+def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    """Rows, whose last column has bytes or nothing, in frames of about BATCH bytes."""
+    columns = [f.split()[0] for f in schema.split(", ")]
+    whole = {c: "Int64" for c in ("total", "page_id", "refers_to_page") if c in columns}
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += 200 + len(r[-1] or b"")
+        if size >= BATCH:
+            yield pd.DataFrame(out, columns=columns).astype(whole)
+            out, size = [], 0
+    yield pd.DataFrame(out, columns=columns).astype(whole)
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt{,.gz}").load(path).select("content")
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives under path; continuation records carry their origin's id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [f.split()[0] for f in _SEGMENTS.split(", ")]
+        yield from _frames((s for b in batches for data in b["content"] for s in segments_of(data)), _SEGMENTS)
 
-        def made(out: list[tuple]) -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=columns)
-            return frame.astype({"total": "Int64", "page_id": "Int64", "refers_to_page": "Int64"})
+    return _archives(spark, path).mapInPandas(run, _SEGMENTS)
 
-        for b in batches:
-            for data in b["content"]:
-                held = io.BytesIO(data)
-                out, size = [], 0
-                for h, block in parse(gzip.GzipFile(fileobj=held) if data[:2] == b"\x1f\x8b" else held):
-                    more = "warc-segment-number" in h
-                    page, to = h.get("page-id"), h.get("refers-to-page-id")
-                    out.append(
-                        (
-                            h.get("warc-segment-origin-id", h.get("warc-record-id")),
-                            int(h.get("warc-segment-number", 1)),
-                            int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                            h.get("warc-type"),
-                            int(page) if page else None,
-                            h.get("warc-target-uri"),
-                            h.get("warc-payload-digest"),
-                            h.get("warc-refers-to"),
-                            int(to) if to else None,
-                            not more,
-                            block,
-                        )
-                    )
-                    size += len(block)
-                    if size >= BATCH:
-                        yield made(out)
-                        out, size = [], 0
-                yield made(out)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt{,.gz}").load(path).select("content")
-    return files.mapInPandas(run, _SEGMENTS)
+
+def runs_of(segments: Iterator[Segment]) -> Iterator[tuple[bool, list[Segment]]]:
+    """Segments of one origin that follow one another in an archive, and whether they are a record from end to end."""
+    for _, found in groupby(segments, lambda s: s.origin):
+        run = list(found)
+        ends = run[0].last if len(run) == 1 else run[-1].total is not None
+        yield ends and [s.segment for s in run] == list(range(1, len(run) + 1)), run
 
 
 def payload_of(block: bytes) -> bytes:
@@ -230,48 +267,72 @@ def payload_of(block: bytes) -> bytes:
     return unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+def checked(origin: str, single: bool, record_type: str | None, digest: str | None, parts: list[tuple]) -> bytes | None:
+    """Payload of a record from its (segment, total, block) in order; None of a revisit. Raises ValueError if it isn't whole."""
+    if [n for n, *_ in parts] != list(range(1, len(parts) + 1)):
+        raise ValueError(f"segments of {origin} are missing or repeated")
+    block = b"".join(x for *_, x in parts)
+    if not single and parts[-1][1] != len(block):
+        raise ValueError(f"segments of {origin} do not have their total length")
+    if record_type == "revisit":
+        return None
+    payload = payload_of(block)
+    if digest and digest.partition(":")[2] != hashlib.sha1(payload).hexdigest():
+        raise ValueError(f"payload of {origin} does not have its digest")
+    return payload
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, page_id, url, digest, payload, refers_to, refers_to_page) of each record under path.
 
-    Records without segments are taken as they are. Segments are grouped by origin; one record's segments are all
-    that a group ever holds. A missing segment, a wrong total length, a broken chunk or a payload that doesn't have
-    its digest fails the read. The payload of a revisit is null.
+    Records whose segments follow one another in their archive are put together where they are read, and only their ids
+    are shuffled, to find repeated ones. All other segments are grouped by origin; one record's segments are all that a
+    group ever holds. So archives are parsed twice. A missing or repeated segment, a wrong total length, a broken chunk or
+    a payload that doesn't have its digest fails the read. The payload of a revisit is null.
     """
-    rows = read_segments(spark, path)
-    part = F.struct("segment", "total", "block")
+
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = (run for b in batches for data in b["content"] for whole, run in runs_of(segments_of(data)) if whole)
+        yield from _frames(
+            (
+                (
+                    r[0].origin,
+                    *(getattr(r[0], c) for c in _FIELDS),
+                    checked(r[0].origin, r[0].last, r[0].record_type, r[0].digest, [(s.segment, s.total, s.block) for s in r]),
+                )
+                for r in found
+            ),
+            _RECORDS,
+        )
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Segments that have to be grouped; of a record that was whole its id only, as segment 0."""
+        found = (x for b in batches for data in b["content"] for x in runs_of(segments_of(data)))
+        rows = (s for whole, run in found for s in ([(run[0].origin, 0, *[None] * 9)] if whole else run))
+        yield from _frames(rows, _SEGMENTS)
+
+    files = _archives(spark, path)
     first = F.col("segment") == 1
-    fields = ("record_type", "page_id", "url", "digest", "refers_to", "refers_to_page")
-    whole = rows.groupBy("origin").agg(
-        F.sort_array(F.collect_list(part)).alias("parts"),
-        *(F.max(F.when(first, F.col(c))).alias(c) for c in fields),
-        F.bool_and("last").alias("single"),
+    grouped = (
+        files.mapInPandas(apart, _SEGMENTS)
+        .groupBy("origin")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("segment", "total", "block"))).alias("parts"),
+            *(F.max(F.when(first, F.col(c))).alias(c) for c in _FIELDS),
+            F.bool_and("last").alias("single"),
+        )
+        .where((F.size("parts") > 1) | (F.col("parts")[0]["segment"] != 0))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            payloads = []
-            for r in b.itertuples():
-                parts = r.parts
-                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
-                    raise ValueError(f"segments of {r.origin} are missing or repeated")
-                block = b"".join(p["block"] for p in parts)
-                if not r.single and parts[-1]["total"] != len(block):
-                    raise ValueError(f"segments of {r.origin} do not have their total length")
-                if r.record_type == "revisit":
-                    payloads.append(None)
-                    continue
-                payload = payload_of(block)
-                if r.digest and r.digest.partition(":")[2] != hashlib.sha1(payload).hexdigest():
-                    raise ValueError(f"payload of {r.origin} does not have its digest")
-                payloads.append(payload)
-            kept = b[["origin", *fields]].rename(columns={"origin": "record_id"})
-            yield kept.assign(payload=payloads)
-
-    schema = (
-        "record_id string, record_type string, page_id long, url string, digest string, refers_to string, "
-        "refers_to_page long, payload binary"
-    )
-    return whole.mapInPandas(run, schema)
+            payloads = [
+                checked(r.origin, r.single, r.record_type, r.digest, [(p["segment"], p["total"], p["block"]) for p in r.parts])
+                for r in b.itertuples()
+            ]
+            yield b[["origin", *_FIELDS]].rename(columns={"origin": "record_id"}).assign(payload=payloads)
+
+    return files.mapInPandas(together, _RECORDS).unionByName(grouped.mapInPandas(run, _RECORDS))
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -288,6 +288,49 @@ def test_archives_with_a_member_a_record_are_read(spark, tmp_path):
     assert got == {0: 0, 1: 40_000, 2: 80_000}
 
 
+def archive(folder, name, records):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(r + "\r\n" for r in records), newline="")
+
+
+def test_records_that_lie_together_are_read_without_moving_them(spark, tmp_path):
+    r = random.Random(5)
+    pages = [(i, f"http://{i}", "".join(r.choices("0123456789abcdef", k=40_000 if i % 4 else 3000))) for i in range(80)]
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        none = spark.sparkContext._jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, quantiles, none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    read = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert {(x.page_id, x.url, bytes(x.payload).decode()) for x in read} == set(pages) and len(read) == len(pages)
+    assert 0 < shuffled() - before < sum(len(h) for *_, h in pages) / 20
+
+
+def test_segments_in_any_order_and_archive_are_put_together(spark, tmp_path):
+    data = {i: bytes([97 + i]) * 50_000 for i in range(3)}
+    whole = {i: warc.records_of(i, 0, "u", d, hashlib.sha1(d).hexdigest(), None) for i, d in data.items()}
+    assert all(len(x) == 4 for x in whole.values())
+    archive(tmp_path / "w", "a.txt", [whole[0][2], whole[1][0], whole[0][0], whole[1][1], *whole[2]])
+    archive(tmp_path / "w", "b.txt", [*whole[1][:1:-1], whole[0][3], whole[0][1]])
+    got = sorted((x.page_id, bytes(x.payload), x.record_type, x.url) for x in warc.read_warc(spark, str(tmp_path / "w")).collect())
+    assert got == [(i, d, "response", "u") for i, d in data.items()]
+
+
+def test_repeated_records_and_segments_are_found(spark, tmp_path):
+    short, long = (warc.records_of(i, 0, "u", d, hashlib.sha1(d).hexdigest(), None) for i, d in enumerate((b"a", b"b" * 50_000)))
+    for i, (a, b) in enumerate(((short * 2, []), (short, short), (long, long), (long, long[1:2]), (long[:2], long[1:]), (long[:3], []))):
+        archive(tmp_path / f"w{i}", "a.txt", a)
+        archive(tmp_path / f"w{i}", "b.txt", b)
+        with pytest.raises(Exception, match="missing or repeated|total length"):
+            warc.read_warc(spark, str(tmp_path / f"w{i}")).collect()
+
+
 def test_chunk_framing():
     for n in (0, 1, 4096, 4097, 20_000):
         data = ("ü" * n).encode()
