@@ -132,6 +132,11 @@ def with_revisits(pages: DataFrame, minimum: int = MIN_REVISIT) -> DataFrame:
     return joined.select("page_id", "row", "url", "html", "digest", refers["page_id"].alias("to_page"), refers["row"].alias("to_row"))
 
 
+def _as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """df with whole numbers that may be null as text: pandas would hold them as floats, which round beyond 2^53."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def write_warc(pages: DataFrame, path: str, minimum: int = MIN_REVISIT) -> None:
     """Write a record for each row of pages (page_id, url, html) to archives under path.
 
@@ -153,7 +158,8 @@ def write_warc(pages: DataFrame, path: str, minimum: int = MIN_REVISIT) -> None:
             yield pd.DataFrame({"value": lines})
 
     # Each record ends with two line ends: its own, and the writer's.
-    lines = with_revisits(pages, minimum).mapInPandas(run, "value string")
+    rows = _as_text(with_revisits(pages, minimum), "to_page", "to_row")
+    lines = rows.mapInPandas(run, "value string")
     lines.write.options(lineSep=_END, maxRecordsPerFile=RECORDS, compression="gzip").text(path)
 
 
@@ -230,14 +236,18 @@ def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
     """Rows, whose last column has bytes or nothing, in frames of about BATCH bytes."""
     columns = [f.split()[0] for f in schema.split(", ")]
     whole = {c: "Int64" for c in ("total", "page_id", "refers_to_page") if c in columns}
+
+    def made(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=columns, dtype=object).astype(whole)
+
     out, size = [], 0
     for r in rows:
         out.append(r)
         size += 200 + len(r[-1] or b"")
         if size >= BATCH:
-            yield pd.DataFrame(out, columns=columns).astype(whole)
+            yield made(out)
             out, size = [], 0
-    yield pd.DataFrame(out, columns=columns).astype(whole)
+    yield made(out)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
@@ -330,9 +340,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 checked(r.origin, r.single, r.record_type, r.digest, [(p["segment"], p["total"], p["block"]) for p in r.parts])
                 for r in b.itertuples()
             ]
-            yield b[["origin", *_FIELDS]].rename(columns={"origin": "record_id"}).assign(payload=payloads)
+            found = b[["origin", *_FIELDS]].rename(columns={"origin": "record_id"}).assign(payload=payloads)
+            for c in ("page_id", "refers_to_page"):
+                found[c] = pd.array([None if pd.isna(x) else int(x) for x in found[c]], dtype="Int64")
+            yield found
 
-    return files.mapInPandas(together, _RECORDS).unionByName(grouped.mapInPandas(run, _RECORDS))
+    rest = _as_text(grouped, "page_id", "refers_to_page").mapInPandas(run, _RECORDS)
+    return files.mapInPandas(together, _RECORDS).unionByName(rest)
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -331,6 +331,26 @@ def test_repeated_records_and_segments_are_found(spark, tmp_path):
             warc.read_warc(spark, str(tmp_path / f"w{i}")).collect()
 
 
+def test_page_ids_beyond_the_whole_numbers_of_a_float(spark, tmp_path, monkeypatch):
+    from lifeloom.llm import queries
+
+    big, long, longer = 2**60, "x" * 2000, "z" * 40_000
+    rows = [(big + 1, "u", long), (big + 3, "u", long), (big + 5, "u", "y"), (big + 7, "u", longer), (-big - 1, "u", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    want = {(i, len(h or ""), "revisit" if i == big + 1 else "response", big + 3 if i == big + 1 else None) for i, _, h in rows}
+    for records in (warc.RECORDS, 2):  # the second cuts a record's segments between archives
+        monkeypatch.setattr(warc, "RECORDS", records)
+        got = queries.op4_warc(spark, str(tmp_path)).collect()
+        assert {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got} == want and len(got) == len(rows)
+    tail = warc.records_of(big + 9, 0, "u", b"", "x", (big + 3, 2))
+    head = warc.records_of(big + 7, 0, "u", longer.encode(), hashlib.sha1(longer.encode()).hexdigest(), None)
+    archive(tmp_path / "w", "a.txt", [head[1], *tail, *head[:1]])
+    archive(tmp_path / "w", "b.txt", head[2:])
+    read = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert {(r.page_id, r.refers_to_page) for r in read} == {(big + 7, None), (big + 9, big + 3)}
+
+
 def test_chunk_framing():
     for n in (0, 1, 4096, 4097, 20_000):
         data = ("ü" * n).encode()
