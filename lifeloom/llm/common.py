@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from lifeloom.session import delete_folder, scratch_folder
 WORD_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+#: Texts that are Python strings at once.
+BATCH_ROWS = 512
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -46,11 +49,32 @@ def durable(df: DataFrame) -> DataFrame:
     return Durable(df).df
 
 
-def kept_rows(docs: DataFrame, decide: Callable[[pd.Series], pd.Series]) -> DataFrame:
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a Python worker for later tasks, and it what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run() of mapInArrow that gives its memory back at the end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def kept_rows(docs: DataFrame, decide: Callable[[str | None], bool]) -> DataFrame:
     """Rows of docs for whose texts decide() is true; the other columns stay in the JVM."""
 
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        return decide(texts)
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        kept = []
+        for k in range(0, len(texts), BATCH_ROWS):
+            kept += map(decide, texts[k : k + BATCH_ROWS].to_pylist())
+        give_back()
+        return pa.array(kept, pa.bool_())
 
     return docs.where(keep(docs["text"].cast("string")))

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,4 +174,4 @@ def keep_known(docs: DataFrame, model: Model, min_share: float = MIN_SHARE) -> D
         found = mixture(model, text)
         return bool(found) and found[0][1] >= min_share
 
-    return kept_rows(docs, lambda texts: pd.Series([known(t) for t in texts], dtype=bool))
+    return kept_rows(docs, known)

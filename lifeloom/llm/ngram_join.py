@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lifeloom.llm.common import Durable, words_of
+from lifeloom.llm.common import BATCH_ROWS, Durable, give_back, tidy, words_of
 from lifeloom.llm.components import components
 
 WORDS = 5
@@ -35,10 +35,12 @@ ROWS = 6
 SMALL = 16
 #: N-grams of a chunk, about: 8 MB of hashes. Long texts make small chunks.
 CHUNK_GRAMS = 1_000_000
-#: Members of a chunk, about: their matrix of counts has 33 MB.
+#: Members of a chunk, about: the matrix of counts of two chunks has 17 MB.
 CHUNK = 2048
-#: N-grams whose columns are multiplied at once.
-COLUMNS = 4096
+#: Cells of the 0/1 matrix of members and n-grams that is multiplied at once: 16 MB.
+CELLS = 1 << 22
+#: Rows of the matrix of counts that are held against the threshold at once.
+LINKED_ROWS = 128
 #: Characters of text whose n-grams are hashed at once.
 BATCH_CHARS = 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +109,7 @@ def set_key(grams: np.ndarray, text: str | None) -> bytes:
 
 def _batches(texts: pa.Array, limit: int) -> Iterator[tuple[int, list]]:
     held, size, start = [], 0, 0
-    for i, t in enumerate(texts.to_pylist()):
+    for i, t in enumerate(t for k in range(0, len(texts), BATCH_ROWS) for t in texts[k : k + BATCH_ROWS].to_pylist()):
         held.append(t)
         size += len(t) if t else 0
         if size >= limit:
@@ -146,7 +148,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "key", "grams", "bands"],
                 )
 
-    return _rows(docs).mapInArrow(run, "doc_id long, key binary, grams long, bands array<long>")
+    return _rows(docs).mapInArrow(tidy(run), "doc_id long, key binary, grams long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -169,25 +171,30 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 )
                 yield made.filter(fit)
 
-    return met.mapInArrow(run, "rep long, weight long, grams binary")
+    return met.mapInArrow(tidy(run), "rep long, weight long, grams binary")
 
 
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many n-grams each set of a shares with each of b: products of 0/1 columns, a slice of n-grams at a time."""
-    flat = np.concatenate([*a, *b])
-    grams, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many n-grams each set of a shares with each of b, or of a: products of 0/1 columns, a slice of n-grams at a time."""
+    both = [*a, *(b or [])]
+    rows = np.repeat(np.arange(len(both), dtype=np.int32), [len(x) for x in both])
+    flat = np.concatenate(both)
+    order = np.argsort(flat)
+    rows, flat = rows[order], flat[order]
+    del order
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+    del flat
+    n = np.diff(starts, append=len(rows))
     often = n > 1
-    column = np.where(often, np.cumsum(often) - 1, -1)[place]
-    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-    rows, column = rows[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    out = np.zeros((len(a), len(b)), np.float32)
-    for lo in range(0, int(often.sum()), COLUMNS):
-        s, e = np.searchsorted(column, [lo, lo + COLUMNS])
-        plane = np.zeros((len(a) + len(b), COLUMNS), np.float32)
-        plane[rows[s:e], column[s:e] - lo] = 1
-        out += plane[: len(a)] @ plane[len(a) :].T
+    rows, n = rows[np.repeat(often, n)], n[often]  # an n-gram of one set is shared by none
+    ends = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros((len(a), len(a) if b is None else len(b)), np.float32)
+    width = max(1, CELLS // max(1, len(both)))
+    for lo in range(0, len(n), width):
+        s, e = ends[lo], ends[min(lo + width, len(n))]
+        plane = np.zeros((len(both), min(width, len(n) - lo)), np.float32)
+        plane[rows[s:e], np.repeat(np.arange(plane.shape[1]), n[lo : lo + width])] = 1
+        out += plane[: len(a)] @ plane[0 if b is None else len(a) :].T
     return out
 
 
@@ -213,25 +220,36 @@ _COMPARED = "rep long, links long, parent long"
 def compare_chunks(threshold: float):
     """Function for a group of rows (pair, side, rep, weight, grams): links and a spanning forest of a pair of chunks."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "rep"])
         sets = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
         n = int((frame["side"] == 0).sum())
         rep, weight = frame["rep"].to_numpy(), frame["weight"].to_numpy().astype(np.float64)
         size = np.array([len(s) for s in sets], np.float64)
-        if n == len(sets):  # a chunk with itself
-            match = linked(shared_counts(sets, sets), size, size, threshold)
-            np.fill_diagonal(match, False)
-            links = match @ weight
-        else:
-            cross = linked(shared_counts(sets[:n], sets[n:]), size[:n], size[n:], threshold)
-            links = np.concatenate([cross @ weight[n:], cross.T @ weight[:n]])
-            match = np.zeros((len(sets), len(sets)), bool)
-            match[:n, n:], match[n:, :n] = cross, cross.T
+        own = n == len(sets)  # a chunk with itself
+        shared = shared_counts(sets) if own else shared_counts(sets[:n], sets[n:])
+        other = 0 if own else n
+        match, links = np.zeros((len(sets), len(sets)), bool), np.zeros(len(sets))
+        for lo in range(0, n, LINKED_ROWS):
+            hi = min(lo + LINKED_ROWS, n)
+            part = linked(shared[lo:hi], size[lo:hi], size[other:], threshold)
+            if own:
+                part[np.arange(hi - lo), np.arange(lo, hi)] = False
+            else:
+                match[n:, lo:hi] = part.T
+                links[n:] += weight[lo:hi] @ part
+            match[lo:hi, other:] = part
+            links[lo:hi] = part @ weight[other:]
+        del shared
         parent = rep[_forest(match)]
         some = links > 0
         return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "parent": parent[some]})
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = compare(frame)
+        give_back()
+        return found
+
     return run
 
 
@@ -244,13 +262,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("a_grams").to_pylist(), b.column("b_grams").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("a_grams"), b.column("b_grams"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = np.array([[len(np.intersect1d(p, q, assume_unique=True))]], np.float64)
                 keep.append(bool(linked(shared, np.array([len(p)]), np.array([len(q)]), threshold)[0, 0]))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b", "a_weight", "b_weight"])
 
-    return met.mapInArrow(run, "a long, b long, a_weight long, b_weight long")
+    return met.mapInArrow(tidy(run), "a long, b long, a_weight long, b_weight long")
 
 
 def leaders(large: DataFrame) -> DataFrame:

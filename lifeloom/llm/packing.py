@@ -7,14 +7,18 @@ window closest to its capacity; how often each length was taken is backtracked f
 from __future__ import annotations
 
 import base64
+import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lifeloom.llm.common import tidy
+
 CAPACITY = 2048
 #: Tokens that a task packs at once; what doesn't fill a window is carried to its next block, so no document is dropped.
 BLOCK_TOKENS = 4_000_000
@@ -29,19 +33,25 @@ class ByteBPE:
     Texts that hold the string of an added token go through the tokenizers library itself. All others go through
     tiktoken with the same vocabulary and split pattern, which gives the same ids at a quarter of the CPU time
     (tests/llm/test_small.py compares the two). Where tiktoken's pattern gives up, as it does on about a million blanks
-    in a row, the tokenizers library encodes the text.
+    in a row, the tokenizers library encodes the text. It is loaded at the first text that needs it (28 MB).
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.path = public_tokenizers.path(f"{name}.json")
+        with open(self.path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -195,4 +205,4 @@ def pack_documents(
                         yield from emit(False)
         yield from emit(True)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
@@ -248,9 +247,9 @@ def keep_ordinary(docs: DataFrame, model: Model) -> DataFrame:
     """
     scorer = None
 
-    def decide(texts: pd.Series) -> pd.Series:
+    def decide(text: str | None) -> bool:
         nonlocal scorer
         scorer = scorer or Scorer(model.toxic, model.ordinary)
-        return pd.Series([score(model, scorer.gains(t)) < 0.5 for t in texts], dtype=bool)
+        return score(model, scorer.gains(text)) < 0.5
 
     return kept_rows(docs, decide)

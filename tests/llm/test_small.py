@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lifeloom.llm import chat, languages, licenses, ngram_join, packing, pieces, spotsigs, topk, toxicity, warc
@@ -196,6 +198,30 @@ def brute(rows, n=5, t=0.8):
     return sorted(out)
 
 
+def test_chunks_of_many_members_are_compared_in_bounded_memory():
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i % 9 :], r.integers(0, 2**63, i % 5, dtype=np.uint64)])) for i in range(4096)]
+    weight = 1 + np.arange(4096) % 3
+    rows = pd.DataFrame({"side": (np.arange(4096) >= 2048).astype(int), "rep": np.arange(4096), "weight": weight, "grams": [s.tobytes() for s in sets]})
+    for frame in (rows, rows[:2048].reset_index(drop=True)):
+        tracemalloc.start()
+        got = ngram_join.compare_chunks(0.8)(frame).set_index("rep")
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90e6
+        other = np.arange(2048, 4096) if len(frame) == 4096 else np.arange(2048)
+        for i in (0, 8, 13, 1000, 2047):
+            near = [j for j in other if j != i and 1.8 * len(np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j])) - 1e-9]
+            assert (got["links"].get(i, 0), got["parent"].get(i, i)) == (weight[near].sum(), 0 if near else i)
+
+
+def test_the_slow_tokenizer_is_loaded_for_texts_that_need_it_only():
+    encode = packing.ByteBPE()
+    assert encode("a plain text").size and "exact" not in vars(encode)
+    assert set(encode.added) == {t.content for t in encode.exact.get_added_tokens_decoder().values()}
+
+
 def test_ngram_join_with_large_and_small_groups(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdef") for _ in range(5))
