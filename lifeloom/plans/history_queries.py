@@ -62,8 +62,7 @@ def class_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = classes.class_documents(class_edit_counts_interval(spark, sf), merge_identical=True)
     when = lambda t: F.coalesce(F.date_format(t, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
     entry = F.transform("edit_counts", lambda e: F.concat_ws(" ", e["user"].cast("string"), when(e["cdate"]), when(e["ddate"]), e["count"].cast("string")))
-    edits = F.aggregate("edit_counts", F.lit(0).cast("long"), lambda n, e: n + e["count"])
-    return docs.select("class", F.size("edit_counts").cast("long").alias("entries"), edits.alias("edits"), F.sha2(F.array_join(entry, "|"), 256).alias("entries_sha256"))
+    return classes.digests(docs, F.array_join(entry, "|"))
 
 
 _SCAN = f"""WITH RECURSIVE {P.CLS},

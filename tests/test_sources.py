@@ -1,6 +1,9 @@
 import bz2
+import hashlib
 import lzma
 
+from pyspark.sql import functions as F
+
 from lifeloom.sources import dumps, tables
 
 PAGE = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/"><page><title>Q1</title>
@@ -52,3 +55,22 @@ def test_class_documents_round_trip(spark, tmp_path):
     class_documents(rows, merge_identical=True).write.json(str(tmp_path / "d"))
     back = tables.read_class_documents(spark, str(tmp_path / "d")).collect()
     assert [tuple(r) for r in back] == [("X", "u", "1", None, 5)]
+
+
+def test_large_class_has_several_documents_in_order(spark, tmp_path):
+    from lifeloom.operators.classes import class_documents, digests
+
+    rows = [("X", f"u{i % 7:02}", f"{i // 7:04}", None if i % 2 else "9", 1) for i in range(700)] + [(c, "u", "1", None, 2) for c in ("A", "B", None, "Z")]
+    rows += [("Y", f"u{i}", "1", None, 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "class string, user string, cdate string, ddate string, count long").repartition(3)
+    docs = class_documents(df, most=50)
+    held = [(r["class"], [tuple(e) for e in r.edit_counts]) for r in docs.collect()]
+    key = lambda e: (e[1], e[2] is not None, e[2] or "", e[0])
+    assert max(len(e) for _, e in held) <= 50
+    for c in ("A", "B", None, "Z", "X", "Y"):
+        own = sorted((e for k, e in held if k == c), key=lambda e: key(e[0]))
+        assert [e for d in own for e in d] == sorted(((u, a, b, n) for k, u, a, b, n in rows if k == c), key=key)
+        assert c == "X" or len(own) == 1
+    got = {r["class"]: tuple(r)[1:] for r in digests(docs, F.array_join(F.transform("edit_counts", lambda e: F.concat_ws(" ", e["user"], e["cdate"], e["ddate"])), "|")).collect()}
+    text = lambda c: "|".join(" ".join(x for x in (u, a, b) if x) for u, a, b, _ in sorted(((u, a, b, n) for k, u, a, b, n in rows if k == c), key=key))
+    assert got == {c: (sum(r[0] == c for r in rows), sum(r[4] for r in rows if r[0] == c), hashlib.sha256(text(c).encode()).hexdigest()) for c in ("A", "B", None, "Z", "X", "Y")}
