@@ -9,6 +9,7 @@ from lifeloom.functions.actors import with_flags
 from lifeloom.operators import classes, closure, enrich, governance, intervals, lifecycle, validators
 from lifeloom.plans import projections as P
 from lifeloom.plans.catalogue import query
+from lifeloom.session import cut_lineage
 
 FAR = "TIMESTAMP '9999-12-31'"
 
@@ -281,7 +282,10 @@ _VALIDATORS = {
 
 def _validated(kind: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return validators.validate(kind, P.corrections(spark, sf), P.entries(spark, sf, kind), P.witnesses(spark, sf))
+        if kind in ("one_of", "none_of"):
+            return validators.validate(kind, P.corrections(spark, sf), P.entries(spark, sf, kind))
+        lc = cut_lineage(P.lifecycles(spark, sf).select("s", "p", "o", "cdate", "ddate"))  # read as both
+        return validators.validate(kind, P.corrections(spark, sf, lc), P.entries(spark, sf, kind), P.witnesses(spark, sf, lc))
 
     return run
 

@@ -109,9 +109,9 @@ ucl AS (
 )"""
 
 
-def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifecycles of P1 as corrections, some of them without a history."""
-    lc = lifecycles(spark, sf_dir).where("p = 'wdt:P1'")
+def corrections(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """Lifecycles of P1 as corrections, some of them without a history. known: the lifecycles, if they are there already."""
+    lc = (lifecycles(spark, sf_dir) if known is None else known).where("p = 'wdt:P1'")
     q = F.substring("s", 5, 20).cast("long")
     found = F.when(q % 11 == 0, "not_found").otherwise("found")
     row = F.concat_ws("|", "s", "o", F.date_format("cdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
@@ -157,9 +157,9 @@ def entries(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return own.unionByName(free)
 
 
-def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifecycles with reversed statements of every second page and statements about the objects added."""
-    lc = lifecycles(spark, sf_dir).select("s", "p", "o", "cdate", "ddate")
+def witnesses(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """Lifecycles with reversed statements of every second page and statements about the objects added; known as above."""
+    lc = (lifecycles(spark, sf_dir) if known is None else known).select("s", "p", "o", "cdate", "ddate")
     q = F.substring("s", 5, 20).cast("long")
     p1 = lc.where("p = 'wdt:P1'")
     back = p1.where(q % 2 == 0).select(F.col("o").alias("s"), F.when(q % 4 == 0, "wdt:P1").otherwise("wdt:P3").alias("p"), F.col("s").alias("o"), "cdate", "ddate")

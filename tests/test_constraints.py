@@ -73,3 +73,65 @@ def test_conflict_without_value_contradicts_only_if_strict(spark):
     status = lambda **k: validate("conflicts_with", cor, ent, lc, **k).collect()[0].historical_status_property_level
     assert status() == "not_violation_no_conflicting_statement"
     assert status(strict_any_value=True) == "historical_violation"
+
+
+def _judge_days(kind, row, listed, wit, level, days):
+    """The status of one row, day by day."""
+    _, cid, s, o, a, b, found = row
+    b = days if b is None else b
+    at_level = [e for e in listed if level == "property" or e[6] == cid]
+    entries = [e for e in at_level if e[0] == "entry"]
+    if found != "found":
+        return "no_historical_row"
+    if not entries:
+        return "no_constraint_for_property_instance"
+    on = lambda x, d: x[4] <= d < (days if x[5] is None else x[5])
+    free = [e for e in at_level if e[0] == "exception" and e[3] == s]
+    met = [(e, d) for e in entries for d in range(a, b) if on(e, d) and (kind == "symmetric" or e[1])]
+    rest = [(e, d) for e, d in met if not any(on(x, d) for x in free)]
+    there = lambda d, who, p, value: any(w[0] == who and w[1] == p and (value is None or w[2] == value) and w[3] <= d < (days if w[4] is None else w[4]) for w in wit)
+    need = lambda e: "wdt:P1" if kind == "symmetric" else e[1].replace("wd:", "wdt:")
+    if kind == "conflicts_with":
+        bad = any(e[2] and there(d, s, need(e), e[2]) for e, d in rest)
+    elif kind in ("inverse", "symmetric"):
+        bad = any(not there(d, o, need(e), s) for e, d in rest)
+    else:
+        who = s if kind == "item_requires_statement" else o
+        bad = any(not any(there(d, who, need(x), x[2]) for x, k in rest if k == d and (x[6], x[1]) == (e[6], e[1])) for e, d in rest)
+    from lifeloom.operators.validators import GOOD
+
+    return "no_constraint_lifecycle_intersection" if not met else "not_violation_exception" if not rest else "historical_violation" if bad else GOOD[kind]
+
+
+def test_validators_against_each_day(spark):
+    import random
+
+    from lifeloom.operators.validators import GOOD, validate
+
+    r, days = random.Random(5), 14
+    span = lambda: ((a := r.randrange(9)), None if r.random() < 0.2 else a + 1 + r.randrange(5))
+    things = ["wd:Q1", "wd:Q2", "wd:Q3"]
+    cor = [(f"r{i}", r.choice(["c0", "c1", "c2"]), r.choice(things), r.choice(things), *span(), "found" if i % 9 else "not_found") for i in range(60)]
+    listed = [("entry", r.choice(["wd:P2", "wd:P3", None]), r.choice([None, *things]), None, *span(), r.choice(["c0", "c1"])) for _ in range(7)]
+    listed += [("exception", None, None, r.choice(things), *span(), r.choice(["c0", "c1"])) for _ in range(4)]
+    wit = [(r.choice(things), f"wdt:P{r.randrange(1, 4)}", r.choice(things), *span()) for _ in range(90)]
+    times = "cdate timestamp_ntz, ddate timestamp_ntz"
+    c = spark.createDataFrame([(i, k, s, "wdt:P1", o, day(a), day(b), f) for i, k, s, o, a, b, f in cor], f"row_id string, constraint_id string, s string, p string, o string, {times}, match_status string")
+    e = spark.createDataFrame([("wd:P1", *x[:4], day(x[4]), day(x[5]), x[6]) for x in listed], "prop string, role string, pq2306 string, pq2305 string, entity string, start timestamp_ntz, end timestamp_ntz, constraint_id string")
+    w = spark.createDataFrame([(*x[:3], day(x[3]), day(x[4])) for x in wit], f"s string, p string, o string, {times}")
+    seen = set()
+    for kind in GOOD:
+        got = {x.row_id: tuple(x)[1:] for x in validate(kind, c, e, w).collect()}
+        want = {x[0]: tuple(_judge_days(kind, x, listed, wit, level, days) for level in ("property", "constraint")) for x in cor}
+        assert got == want, kind
+        seen |= {s.split("_")[0] + s[-9:] for x in got.values() for s in x}
+    assert len(seen) >= 4
+
+
+def test_what_many_witnesses_cover_is_one_interval(spark):
+    from lifeloom.operators.validators import _merged_witnesses, _witnesses
+
+    rows = [("wd:Q5", "wdt:P4", f"wd:B{i % 3}", day(i), day(i + 4)) for i in range(300)]
+    w = _witnesses(spark.createDataFrame(rows, "s string, p string, o string, cdate timestamp_ntz, ddate timestamp_ntz"))
+    got = sorted((r.w_o or "", r.start, r.end) for r in _merged_witnesses(w, True).collect())
+    assert got == [("", day(0), day(303)), ("wd:B0", day(0), day(301)), ("wd:B1", day(1), day(302)), ("wd:B2", day(2), day(303))]
